@@ -136,7 +136,7 @@ def trend_report(trends: DataFrame) -> DataFrame:
         status = F.when(F.col("trend") == trend, text).otherwise(status)
     change = F.translate(F.format_number(F.rint("change"), 0), ",", " ")
     percent = F.concat(
-        F.when(F.col("change_percent") >= 0, "+").otherwise(""), F.format_string("%.2f", F.col("change_percent"))
+        F.when(F.col("change_percent") >= 0, "+").otherwise(""), F.format_string("%.2f", F.bround("change_percent", 2))
     )
     line = F.concat(
         name, F.lit(" | "), status, F.lit(" | dagar="), F.col("n_days").cast("string"), F.lit(" | steg="),

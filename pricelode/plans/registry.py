@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("valuation",)
+GROUPS = ("valuation", "history", "matching")
 
 
 def queries() -> dict:
