@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pricelode.config import MatchParams
 from pricelode.functions.numbers import mileage_similarity, price_similarity
-from pricelode.functions.similarity import with_text_similarity
+from pricelode.functions.similarity import text_similarity
 from pricelode.functions.text import blank_to_null, norm_id, norm_text, norm_variant
 
 TEXT_EQUIPMENT = ("trim", "service_history", "last_service", "next_service", "first_registration")
@@ -181,8 +181,11 @@ def _sides(prof: DataFrame) -> tuple[DataFrame, DataFrame]:
 PAIR_COLUMNS = ["a_pid", "a_first_seq", "a_n", "a_p", "b_pid", "b_first_seq", "b_n", "b_p"]
 
 
-def _pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    return a.join(b, keys).filter(F.col("a_first_seq") < F.col("b_first_seq")).select(*PAIR_COLUMNS)
+def _same(*fields: str) -> Column:
+    cond = F.lit(True)
+    for field in fields:
+        cond = cond & (F.col(f"a_p.{field}") == F.col(f"b_p.{field}"))
+    return cond
 
 
 def score_pairs(prof: DataFrame, params: MatchParams) -> DataFrame:
@@ -194,14 +197,13 @@ def score_pairs(prof: DataFrame, params: MatchParams) -> DataFrame:
     usable = F.col("p.model").isNotNull() & F.col("p.first").isNotNull() & F.col("p.mileage").isNotNull()
     a, b = _sides(prof.filter(usable))
     width = params.mileage_margin
-    a = a.select("*", F.col("a_p.model").alias("k1"), F.col("a_p.first").alias("k2"),
-                 F.floor(F.col("a_p.mileage") / width).alias("k3"))
-    b = b.select("*", F.col("b_p.model").alias("k1"), F.col("b_p.first").alias("k2"),
-                 F.explode(_cells(F.col("b_p.mileage"), width)).alias("k3"))
+    b = b.select("*", F.explode(_cells(F.col("b_p.mileage"), width)).alias("cell"))
+    here = F.floor(F.col("a_p.mileage") / width) == F.col("cell")
     gap = F.abs(F.col("a_p.mileage") - F.col("b_p.mileage"))
-    return _pairs(a, b, ["k1", "k2", "k3"]).filter(
-        (gap <= width) & _wild(F.col("a_p.year"), F.col("b_p.year"))
-    )
+    earlier = F.col("a_first_seq") < F.col("b_first_seq")
+    return a.join(b, _same("model", "first") & here & earlier & (gap <= width)).filter(
+        _wild(F.col("a_p.year"), F.col("b_p.year"))
+    ).select(*PAIR_COLUMNS)
 
 
 def identical_pairs(prof: DataFrame) -> DataFrame:
@@ -213,49 +215,57 @@ def identical_pairs(prof: DataFrame) -> DataFrame:
     prof = prof.filter(F.col("p.model").isNotNull())
     placed = F.col("p.year").isNotNull() & F.col("p.variant").isNotNull() & F.col("p.mileage").isNotNull()
     priced = F.col("p.price").isNotNull()
-    category = lambda s: [F.col(f"{s}_p.{c}").alias(f"k_{c}") for c in ("model", "year", "variant")]
-    cat_keys = ["k_model", "k_year", "k_variant"]
-    floor2 = lambda c: F.floor(F.col(c) / 2)
+    in_cell = lambda c, cell: F.floor(F.col(f"a_p.{c}") / 2) == F.col(cell)
+    apart = lambda c: F.abs(F.col(f"a_p.{c}") - F.col(f"b_p.{c}"))
+    a_p, b_p = F.col("a_p"), F.col("b_p")
+    rest = _wild(a_p["first"], b_p["first"]) & _wild(a_p.reg, b_p.reg) & F.coalesce(
+        F.arrays_overlap(a_p.vins, b_p.vins), F.lit(True)
+    )
+    category = _same("model", "year", "variant")
 
     a, b = _sides(prof.filter(placed & priced))
-    a = a.select("*", *category("a"), floor2("a_p.mileage").alias("k4"), floor2("a_p.price").alias("k5"))
-    b = b.select("*", *category("b"), F.explode(_cells(F.col("b_p.mileage"), 2)).alias("k4")).select(
-        "*", F.explode(_cells(F.col("b_p.price"), 2)).alias("k5")
+    b = b.select("*", F.explode(_cells(F.col("b_p.mileage"), 2)).alias("m_cell")).select(
+        "*", F.explode(_cells(F.col("b_p.price"), 2)).alias("p_cell")
     )
-    full = _pairs(a, b, [*cat_keys, "k4", "k5"])
-
-    def unordered(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        met = left.join(right, keys).filter(F.col("a_pid") != F.col("b_pid"))
+    earlier = F.col("a_first_seq") < F.col("b_first_seq")
+    full = a.join(
+        b,
+        category & in_cell("mileage", "m_cell") & in_cell("price", "p_cell") & earlier
+        & (apart("mileage") <= 1) & (apart("price") <= 1),
+    ).filter(rest)
+
+    def in_order(met: DataFrame) -> DataFrame:
         swap = F.col("a_first_seq") > F.col("b_first_seq")
         cols = ("pid", "first_seq", "n", "p")
-        return met.select(
+        return met.filter(F.col("a_pid") != F.col("b_pid")).select(
             *[F.when(swap, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"a_{c}") for c in cols],
             *[F.when(swap, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"b_{c}") for c in cols],
         )
 
     a, _ = _sides(prof.filter(placed & ~priced))
     _, b = _sides(prof.filter(placed))
-    a = a.select("*", *category("a"), floor2("a_p.mileage").alias("k4"))
-    b = b.select("*", *category("b"), F.explode(_cells(F.col("b_p.mileage"), 2)).alias("k4"))
-    no_price = unordered(a, b, [*cat_keys, "k4"])
+    b = b.select("*", F.explode(_cells(F.col("b_p.mileage"), 2)).alias("m_cell"))
+    no_price = a.join(b, category & in_cell("mileage", "m_cell") & (apart("mileage") <= 1)).filter(rest)
 
     a, _ = _sides(prof.filter(~placed))
     _, b = _sides(prof)
-    loose = unordered(
-        a.withColumn("k1", F.col("a_p.model")), b.withColumn("k1", F.col("b_p.model")), ["k1"]
+    loose = a.join(b, _same("model")).filter(
+        rest & _wild(a_p.year, b_p.year) & _wild(a_p.variant, b_p.variant)
+        & _near(a_p.mileage, b_p.mileage, 1) & _near(a_p.price, b_p.price, 1)
+    )
+    return (
+        full.select(*PAIR_COLUMNS)
+        .unionByName(in_order(no_price).select(*PAIR_COLUMNS))
+        .unionByName(in_order(loose).select(*PAIR_COLUMNS))
     )
-    met = full.unionByName(no_price.select(*PAIR_COLUMNS)).unionByName(loose.select(*PAIR_COLUMNS))
-    return met.filter(identical(F.col("a_p"), F.col("b_p")))
 
 
 def with_decision(pairs: DataFrame, params: MatchParams, left: str = "a_p", right: str = "b_p",
                   out: str = "d") -> DataFrame:
-    """Add the decision struct for (left, right); the text ratio runs on distinct texts."""
-    pairs = pairs.withColumns({"_va": F.col(f"{left}.variant"), "_vb": F.col(f"{right}.variant")})
-    pairs = with_text_similarity(pairs, "_va", "_vb", "_sim")
-    return pairs.withColumn(
-        out, decision(F.col(left), F.col(right), F.col("_sim"), params)
-    ).drop("_va", "_vb", "_sim")
+    """Add the decision struct for ``left`` as representative and ``right`` as newcomer."""
+    sim = text_similarity(F.col(f"{left}.variant"), F.col(f"{right}.variant"))
+    pairs = pairs.withColumn("_sim", sim)
+    return pairs.withColumn(out, decision(F.col(left), F.col(right), F.col("_sim"), params)).drop("_sim")
 
 
 def match_edges(prof: DataFrame, params: MatchParams | None = None) -> DataFrame:

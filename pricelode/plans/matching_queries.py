@@ -8,6 +8,7 @@ from pricelode.config import MatchParams
 from pricelode.functions import numbers, text
 from pricelode.functions.similarity import text_similarity
 from pricelode.operators import cluster, match
+from pricelode.session import materialize
 from pricelode.sources.tables import listings, read_table, spread
 
 PARAMS = MatchParams()
@@ -19,13 +20,13 @@ def _pair_keys(a: str = "a_first_seq", b: str = "b_first_seq"):
 
 
 def profiles(spark, root, identifiers: bool = True):
-    return match.profiles(match.with_profile(listings(spark, root, identifiers), PARAMS))
+    found = match.profiles(match.with_profile(listings(spark, root, identifiers), PARAMS))
+    return materialize(found, "profiles")
 
 
 def _links(kind: str):
     def run(spark, root):
-        rows = match.with_profile(listings(spark, root, True), PARAMS)
-        prof = match.profiles(rows)
+        prof = profiles(spark, root)
         links = match.shared_key_links(prof).filter(F.col("key").startswith(kind) & (F.col("a") != F.col("b")))
         seqs = prof.select("pid", "first_seq")
         a = seqs.select(F.col("pid").alias("a"), F.col("first_seq").alias("a_first_seq"))
@@ -80,7 +81,7 @@ def _equipment(spark, root):
 
 
 def members(spark, root):
-    return cluster.members(cluster.assign_groups(listings(spark, root, True), PARAMS), PARAMS)
+    return cluster.members(listings(spark, root, True), PARAMS)
 
 
 def _groups(spark, root):
