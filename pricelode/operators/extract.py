@@ -184,7 +184,8 @@ def detail_facts(pages: DataFrame) -> DataFrame:
 
     Pages without a readable price or mileage are left out.
     """
-    df = pages.withColumn("text", page_lines(F.col("html")))
+    # The one-element explode keeps the optimizer from repeating the text step in every use.
+    df = pages.select("*", F.explode(F.array(page_lines(F.col("html")))).alias("text"))
     df = df.withColumn("flat", F.replace("text", F.lit("\n"), F.lit(" ")))
     price = _first(
         F.regexp_extract("text", r"(?iuU)(?:^|\n)\s*Pris\s*(?:\([^)]*\))?\s*\n+\s*([\d\s]+)\s*kr", 1),
@@ -196,17 +197,20 @@ def detail_facts(pages: DataFrame) -> DataFrame:
     )
     owners = blank_to_null(F.regexp_extract("flat", r"(?iuU)Antal\s+ägare\s+(\d+)", 1))
     keep = [c for c in pages.columns if c != "html"]
+    found = F.struct(price.alias("price"), mileage.alias("mileage"))
+    df = df.select("*", F.explode(F.array(found)).alias("found")).filter(
+        "found.price is not null and found.mileage is not null"
+    )
     return df.select(
         *keep,
-        price.alias("price_text"), mileage.alias("mileage_text"),
         owners.try_cast("int").alias("owners"),
         F.col("text").rlike(r"(?iu)auktionsobjekt").alias("auction"),
         regno(F.col("html"), F.col("flat")).alias("reg_no"),
         body_type(F.col("flat")).alias("body"),
         F.col("flat").rlike(r"(?iuU)\btouring\b").alias("mentions_touring"),
-    ).filter("price_text is not null and mileage_text is not null").withColumns(
-        {"price": digits(F.col("price_text")), "mileage": digits(F.col("mileage_text"))}
-    ).drop("price_text", "mileage_text")
+        digits(F.col("found.price")).alias("price"),
+        digits(F.col("found.mileage")).alias("mileage"),
+    )
 
 
 def detail_join(candidates: DataFrame, pages: DataFrame) -> DataFrame:

@@ -1 +1,68 @@
-ORACLES = {}
+"""SQL for the queries of :mod:`pricelode.plans.matching_queries`."""
+
+from pricelode.plans import sql_parts as P
+
+_LIST = f"WITH {P.LISTINGS}"
+_COMPLETE = """(CASE WHEN reg_no IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN vin IS NOT NULL THEN 1 ELSE 0 END + 1 + tow_hook::INTEGER + heater::INTEGER
+  + certified::INTEGER + big_battery::INTEGER + 1 + CASE WHEN first_registration IS NOT NULL THEN 1 ELSE 0 END + 1
+  + CASE WHEN mileage <> 0 THEN 1 ELSE 0 END + 1 + 1 + 1 + 1)"""
+_ATTRS = "model, variant, model_year, mileage, price, reg_no, vin, first_registration, trim, tow_hook, heater, certified, big_battery, owners"
+_PROF = f"""{P.LISTINGS}, prof AS (SELECT {_ATTRS}, min(seq) AS seq, count(*) AS n, arg_min(k1, seq) AS k1, arg_min(k2, seq) AS k2,
+  arg_min(k3, seq) AS k3, arg_min(k4, seq) AS k4, arg_min(k5, seq) AS k5 FROM listings GROUP BY {_ATTRS})"""
+_KEYS = ", ".join(f"a.k{i} AS a_k{i}" for i in range(1, 6)) + ", " + ", ".join(f"b.k{i} AS b_k{i}" for i in range(1, 6))
+_OUT = ", ".join(f"a_k{i}" for i in range(1, 6)) + ", " + ", ".join(f"b_k{i}" for i in range(1, 6))
+
+_LINKS = """SELECT replace(value, '-', '') AS value, {keys} FROM (SELECT *, {col} AS value FROM prof WHERE {col} IS NOT NULL) b
+  JOIN (SELECT *, {col} AS v FROM prof WHERE {col} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {col} ORDER BY seq) = 1) a ON a.v = b.value AND a.seq <> b.seq"""
+
+_IDENTICAL = """(a.model = b.model AND a.variant = b.variant AND a.model_year = b.model_year AND abs(a.mileage - b.mileage) <= 1
+  AND abs(a.price - b.price) <= 1 AND coalesce(a.first_registration = b.first_registration, TRUE)
+  AND coalesce(a.reg_no = b.reg_no, TRUE) AND coalesce(a.vin = b.vin, TRUE))"""
+# Similarity of 'brand x' and 'brand y' by matching blocks: the common head plus a shared digit.
+_SIM = """CASE WHEN a.variant = b.variant THEN 1.0 ELSE 2.0 * (6 + CASE WHEN contains(substr(b.variant, 7), substr(a.variant, 7, 1))
+    OR (length(a.variant) = 8 AND contains(substr(b.variant, 7), substr(a.variant, 8, 1))) THEN 1 ELSE 0 END)
+  / (length(a.variant) + length(b.variant)) END"""
+_EQ = " + ".join(f"(a.{c} = b.{c})::INTEGER" for c in ("trim", "tow_hook", "heater", "certified", "big_battery", "owners"))
+_EXTRA = " + ".join(f"(a.{c} = b.{c})::INTEGER" for c in ("owners", "tow_hook", "heater", "big_battery", "certified"))
+_MIL = "CASE WHEN gap <= 50 THEN 1.0 WHEN gap <= 100 THEN 0.95 WHEN gap > 300 THEN 0.0 ELSE 0.95 - (gap - 100) / 200.0 * 0.95 END"
+_PRICE = "CASE WHEN pgap <= 1000 THEN 1.0 WHEN pgap > 5000 THEN 0.0 ELSE 1.0 - (pgap - 1000) / 4000.0 * 0.5 END"
+_BLOCKS = f"""{_PROF}, blocks AS (SELECT {_KEYS}, a.model_year = b.model_year AS same_year, CAST(abs(a.mileage - b.mileage) AS DOUBLE) AS gap,
+    abs(a.price - b.price) AS pgap, {_SIM} AS sim, {_EQ} + 1 AS same, 7 AS known, {_EXTRA} AS extra, a.reg_no = b.reg_no AS reg, a.vin = b.vin AS vin,
+    {_IDENTICAL} AS ident FROM prof a JOIN prof b ON a.model = b.model AND a.first_registration = b.first_registration
+    AND abs(a.mileage - b.mileage) <= 300 AND a.seq < b.seq AND a.model_year = b.model_year),
+points AS (SELECT *, CAST(least(100, 15 + 20 + CASE WHEN sim >= 0.95 THEN 25 WHEN sim >= 0.90 THEN 23 WHEN sim >= 0.80 THEN 18 WHEN sim >= 0.70 THEN 10
+    WHEN sim >= 0.60 THEN 5 ELSE 0 END + round_even({_MIL} * 25, 0) + round_even({_PRICE} * 3, 0) + round_even(same / known * 7, 0)
+    + round_even(extra / 5.0 * 5, 0)) AS INTEGER) AS points FROM blocks),
+decided AS (SELECT *, CASE WHEN reg OR vin OR ident THEN 100 ELSE points END AS score,
+    CASE WHEN reg THEN 'regnr' WHEN vin THEN 'vin' ELSE 'fingerprint' END AS match_type,
+    CASE WHEN reg THEN 'regnr' WHEN vin THEN 'vin' WHEN ident THEN 'identisk_annons' ELSE 'fingerprint' END AS reason,
+    coalesce(reg, FALSE) OR coalesce(vin, FALSE) OR ident OR points >= 82 AS matches FROM points)"""
+
+ORACLES = {
+    "completeness": f"{_LIST} SELECT listing_id, {_COMPLETE} AS completeness FROM listings",
+    "profile_copies": f"WITH {_PROF} SELECT n, count(*) AS n_profiles FROM prof GROUP BY n",
+    "regno_links": f"WITH {_PROF} " + _LINKS.format(keys=_KEYS, col="reg_no"),
+    "vin_links": f"WITH {_PROF} " + _LINKS.format(keys=_KEYS, col="vin"),
+    "identical_pairs": f"WITH {_PROF} SELECT {_KEYS} FROM prof a JOIN prof b ON a.seq < b.seq AND a.model = b.model AND a.variant = b.variant AND a.model_year = b.model_year AND {_IDENTICAL}",
+    "score_blocks": f"""WITH {_BLOCKS} SELECT {_OUT}, same_year, CAST(round_even({_MIL} * 25, 0) AS INTEGER) AS mileage_points,
+        CAST(round_even({_PRICE} * 3, 0) AS INTEGER) AS price_points FROM points""",
+    "equipment_agreement": f"WITH {_BLOCKS} SELECT {_OUT}, CAST(same AS INTEGER) AS same, known FROM blocks",
+    "fingerprint_scores": f"WITH {_BLOCKS} SELECT {_OUT}, score, match_type, reason, matches FROM decided",
+    "match_edges": f"""WITH {_BLOCKS}, same AS (SELECT {_KEYS}, a.reg_no = b.reg_no AS reg, a.vin = b.vin AS vin FROM prof a JOIN prof b ON a.seq < b.seq
+          AND a.model = b.model AND a.variant = b.variant AND a.model_year = b.model_year AND {_IDENTICAL})
+        SELECT {_OUT}, TRUE AS forward, 100 AS score, CASE WHEN reg THEN 'regnr' WHEN vin THEN 'vin' ELSE 'identisk_annons' END AS reason FROM same
+        UNION SELECT {_OUT}, TRUE, score, reason FROM decided WHERE matches""",
+    "identical_components": f"""WITH RECURSIVE {_PROF}, pairs AS (SELECT a.seq AS x, b.seq AS y FROM prof a JOIN prof b ON a.seq < b.seq AND a.model = b.model
+          AND a.variant = b.variant AND a.model_year = b.model_year AND {_IDENTICAL}),
+        both_ways AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs),
+        reach AS (SELECT DISTINCT x AS start, x AS node FROM both_ways UNION SELECT r.start, e.y FROM reach r JOIN both_ways e ON e.x = r.node),
+        heads AS (SELECT start, min(node) AS head FROM reach GROUP BY start)
+        SELECT p.k1, p.k2, p.k3, p.k4, p.k5, h.k1 AS head_k1, h.k2 AS head_k2, h.k3 AS head_k3, h.k4 AS head_k4, h.k5 AS head_k5
+        FROM heads JOIN prof p ON p.seq = start JOIN prof h ON h.seq = head""",
+    "mileage_price_similarity": f"""{_LIST} SELECT listing_id, round({_MIL}, 6) AS mileage_similarity, round({_PRICE}, 6) AS price_similarity
+        FROM (SELECT listing_id, CAST(mileage % 400 AS DOUBLE) AS gap, price % 7000 AS pgap FROM listings)""",
+    "norm_id": "SELECT page_id, upper(regexp_replace(url, '[^A-Za-z0-9]', '', 'g')) AS norm_id FROM pages",
+    "norm_variant": """SELECT p_partkey, 'xdrive och ' || p_name || ' 4motion plugin e' || replace(lower(p_brand), '#', ' ') AS norm_variant FROM part""",
+    "lenient_numbers": """SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_size * 1000 + p_partkey % 1000 + 0.5::DOUBLE END AS number,
+        CAST(CASE WHEN p_partkey % 7 <> 0 THEN round_even(p_size * 1000 + p_partkey % 1000 + 0.5::DOUBLE, 0) END AS BIGINT) AS whole FROM part""",
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("valuation", "history", "clean", "matching")
+GROUPS = ("valuation", "history", "clean", "matching", "stream")
 
 
 def queries() -> dict:

@@ -50,16 +50,18 @@ class StateStore:
                     found.append(int(name[1:]))
         return sorted(found)
 
-    def load(self) -> DataFrame:
-        versions = self.versions()
+    def load(self, at_most: int | None = None) -> DataFrame:
+        """Newest complete snapshot, or the newest with a version up to ``at_most``."""
+        versions = [v for v in self.versions() if at_most is None or v <= at_most]
         if not versions:
             return self.spark.createDataFrame([], STATE)
         return migrate(self.spark.read.schema(STATE).parquet(self._path(versions[-1])))
 
-    def write(self, state: DataFrame) -> int:
-        """Write the next snapshot and return its version."""
-        versions = self.versions()
-        version = (versions[-1] if versions else 0) + 1
+    def write(self, state: DataFrame, version: int | None = None) -> int:
+        """Write the next snapshot (or the given version) and return its version."""
+        if version is None:
+            versions = self.versions()
+            version = (versions[-1] if versions else 0) + 1
         rows = conform(state, STATE).select(*STATE.fieldNames())
         # "overwrite" clears the rest of an attempt that died before its commit.
         rows.write.mode("overwrite").parquet(self._path(version))
