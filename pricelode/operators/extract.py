@@ -244,7 +244,7 @@ def coverage(facts: DataFrame, column: str = "reg_no") -> DataFrame:
 _LABEL = (
     r"(?:\bregistreringsnummer\b|\bregistreringsnr\b|\breg\.?\s*nr\.?|\bregnr\b|\breg\.?\s*nummer\b)"
 )
-_KEY = r"(?:registration_?number|registration_?no|registernumber|reg_?number|regnr|registration)"
+_KEY = r"(?:registration[_-]?(?:number|no)?|registernumber|reg[_-]?number|regnr)"
 
 
 def regno(html: Column, flat: Column) -> Column:
@@ -254,18 +254,22 @@ def regno(html: Column, flat: Column) -> Column:
     of it, in an attribute named for it, in a JSON block, in the raw page.
     """
     after = lambda text, n: F.regexp_extract(text, rf"(?isuU){_LABEL}[\s:;=\-–—]*(.{{0,{n}}})", 1)
-    attribute = F.regexp_extract(html, rf"""(?isu)\s[\w-]*{_KEY}[\w-]*\s*=\s*["']([^"']*)["']""", 1)
+    first_valid = lambda found: F.get(
+        F.filter(F.transform(found, find_regno), lambda v: v.isNotNull()), F.lit(0)
+    )
+    attributes = F.regexp_extract_all(
+        html, F.lit(rf"""(?isu)\s[\w-]*{_KEY}[\w-]*\s*=\s*["']([^"']*)["']"""), F.lit(1)
+    )
     scripts = F.regexp_extract_all(
         html, F.lit(r"""(?is)<script\b[^>]*\btype\s*=\s*["'][^"']*json[^"']*["'][^>]*>(.*?)</script>"""), F.lit(1)
     )
     values = F.flatten(F.transform(
         scripts, lambda s: F.regexp_extract_all(s, F.lit(rf"""(?isu)"{_KEY}"\s*:\s*"([^"]*)\""""), F.lit(1))
     ))
-    in_json = F.get(F.filter(F.transform(values, find_regno), lambda v: v.isNotNull()), F.lit(0))
     return F.coalesce(
         find_regno(after(flat, 30)),
         find_regno(after(flat, 100)),
-        find_regno(attribute),
-        in_json,
+        first_valid(attributes),
+        first_valid(values),
         find_regno(after(F.regexp_replace(strip_tags(html, " "), r"(?U)\s+", " "), 100)),
     )
