@@ -142,10 +142,11 @@ def with_market_columns(df: DataFrame, params: MarketParams) -> DataFrame:
 def market_basis(df: DataFrame, params: MarketParams | None = None) -> DataFrame:
     """Listings that may serve as market evidence; cheap tests come first."""
     params = params or MarketParams()
+    leasing = F.col("leasing_offer") if "leasing_offer" in df.columns else leasing_flag(df)
     df = df.filter(
         plausible_price(F.col("price"), params)
         & F.coalesce(F.col("mileage") >= params.min_mileage, F.lit(False))
-        & ~leasing_flag(df)
+        & ~leasing
     )
     return df if "category" in df.columns else with_market_columns(df, params)
 
@@ -160,11 +161,16 @@ def basis_counts(df: DataFrame, params: MarketParams | None = None) -> DataFrame
 # --- comparables --------------------------------------------------------------
 
 
+_CANDIDATE = ("seq", "mileage", "price", "equipment", "ident", "url_key")
+
+
 def _candidate() -> Column:
-    return F.struct(
-        F.col("seq"), F.col("mileage"), F.col("price"), F.col("equipment"), F.col("ident"), F.col("url_key"),
-        F.col("listing_id"), F.col("trim"),
-    )
+    return F.struct(*_CANDIDATE)
+
+
+def _with_gap(c: Column, gap: Column) -> Column:
+    """The candidate with its distance first, so that structs sort nearest first."""
+    return F.struct(gap.alias("gap"), *[c[f].alias(f) for f in _CANDIDATE])
 
 
 def _nearest_by_point(targets: DataFrame, basis: DataFrame, params: MarketParams, keep: int) -> DataFrame:
@@ -202,7 +208,7 @@ def _nearest_by_point(targets: DataFrame, basis: DataFrame, params: MarketParams
     here = F.coalesce(F.col("own"), F.expr("slice(flatten(below), 1, 0)"))
     merged = F.transform(
         F.concat(below, here, above),
-        lambda c: F.struct(F.abs(c.mileage - F.col("mileage")).alias("gap"), c.seq.alias("seq"), c.alias("c")),
+        lambda c: _with_gap(c, F.abs(c.mileage - F.col("mileage"))),
     )
     merged = F.sort_array(F.filter(merged, lambda x: x.gap <= band))
     return spread.select("category", "mileage", F.slice(merged, 1, keep).alias("near"))
@@ -255,7 +261,7 @@ def comparables(targets: DataFrame, basis: DataFrame, params: MarketParams | Non
     keep = params.max_comparables + params.identity_slack
     near = _nearest_by_point(targets, basis, params, keep)
     joined = targets.join(near, ["category", "mileage"], "left")
-    joined = joined.withColumn("accepted", F.filter("near", lambda x: ~_same_listing(x.c)))
+    joined = joined.withColumn("accepted", F.filter("near", lambda x: ~_same_listing(x)))
     if not _identity_is_sparse(targets, basis, params.identity_slack):
         # Some listing may have more copies among its nearest rows than the
         # slack allows for; those targets take the exact route over all rows.
@@ -317,7 +323,7 @@ def _comparables_of_copies(targets: DataFrame, basis: DataFrame, params: MarketP
         .withColumn("rn", F.row_number().over(nearest))
         .filter(F.col("rn") <= k)
         .groupBy(*key)
-        .agg(F.sort_array(F.collect_list(F.struct("gap", F.col("c.seq").alias("seq"), "c"))).alias("accepted"))
+        .agg(F.sort_array(F.collect_list(_with_gap(F.col("c"), F.col("gap")))).alias("accepted"))
     )
     on = [targets[c].eqNullSafe(lists[f"t_{c}"]) for c in profile]
     return targets.join(lists, on, "left").drop(*key)
@@ -335,9 +341,9 @@ def _median_of(sorted_values: Column) -> Column:
 
 def _adjusted(params: MarketParams):
     def price_of(x: Column) -> Column:
-        by_mileage = (x.c.mileage - F.col("mileage")) * F.lit(params.price_per_mileage)
-        by_equipment = clamp(F.col("equipment") - x.c.equipment, params.equipment_cap)
-        return x.c.price + by_mileage + by_equipment
+        by_mileage = (x.mileage - F.col("mileage")) * F.lit(params.price_per_mileage)
+        by_equipment = clamp(F.col("equipment") - x.equipment, params.equipment_cap)
+        return x.price + by_mileage + by_equipment
 
     return price_of
 
@@ -361,20 +367,20 @@ def comparable_details(df: DataFrame, params: MarketParams) -> DataFrame:
     """``details``: each comparable with its rounded adjustments; plus their median."""
 
     def detail(x: Column) -> Column:
-        gap = x.c.mileage - F.col("mileage")
-        by_equipment = clamp(F.col("equipment") - x.c.equipment, params.equipment_cap)
+        gap = x.mileage - F.col("mileage")
+        by_equipment = clamp(F.col("equipment") - x.equipment, params.equipment_cap)
         rounded = lambda c: F.rint(c).cast("bigint")
         return F.struct(
-            rounded(x.c.price).alias("price"),
-            x.c.mileage.alias("mileage"),
+            rounded(x.price).alias("price"),
+            x.mileage.alias("mileage"),
             gap.alias("mileage_gap"),
             rounded(gap * F.lit(params.price_per_mileage)).alias("mileage_adjustment"),
-            rounded(x.c.equipment).alias("comp_equipment"),
+            rounded(x.equipment).alias("comp_equipment"),
             rounded(F.col("equipment")).alias("target_equipment"),
             rounded(by_equipment).alias("equipment_adjustment"),
             rounded(_adjusted(params)(x)).alias("adjusted_price"),
-            x.c.ident.alias("listing_id"),
-            x.c.url_key.alias("url"),
+            x.ident.alias("listing_id"),
+            x.url_key.alias("url"),
         )
 
     df = df.withColumn("details", F.transform("comps", detail))
@@ -479,8 +485,8 @@ def value_listings(
 ) -> DataFrame:
     """Value every listing against the basis formed by all of them."""
     params = params or MarketParams()
-    targets = with_market_columns(listings, params)
-    valued = comparables(targets, market_basis(listings, params), params)
+    targets = with_market_columns(listings, params).withColumn("leasing_offer", leasing_flag(listings))
+    valued = comparables(targets, market_basis(targets, params), params)
     valued = adjusted_median_price(valued, params)
     if details:
         valued = comparable_details(valued, params)

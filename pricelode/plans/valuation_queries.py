@@ -99,7 +99,7 @@ def _comparables(spark, root):
     return out.select(
         "listing_id",
         F.size("comps").alias("n"),
-        F.array_join(F.transform("comps", lambda x: x.c.listing_id), ",").alias("comp_ids"),
+        F.array_join(F.transform("comps", lambda x: x.ident), ",").alias("comp_ids"),
     )
 
 
