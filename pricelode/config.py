@@ -157,11 +157,6 @@ class MatchParams:
     price_margin: int = 5000
     score_gate: int = 82
     review_below: int = 90
-    # Blocks of the score route with more rows than this are not paired up;
-    # they are resolved representative by representative instead.
-    hot_block_rows: int = 2000
-    # Components with more rows than this leave the single-task fold.
-    component_rows: int = 20000
     variant_rewrites: tuple[tuple[str, str], ...] = (
         ("x drive", "xdrive"), ("4 motion", "4motion"), ("plug in", "plugin"),
     )
