@@ -28,10 +28,6 @@ def as_of():
     return F.lit(AS_OF).cast("date")
 
 
-def seq_cols(df: DataFrame) -> DataFrame:
-    return df
-
-
 def valued(spark: SparkSession, root: str, details: bool = False) -> DataFrame:
     return market.value_listings(listings(spark, root), as_of(), MARKET, details)
 
