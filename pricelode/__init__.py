@@ -7,3 +7,10 @@ prices are parameters with defaults in :mod:`pricelode.config`.
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value, so workers need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
