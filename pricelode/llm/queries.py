@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pricelode.llm import chat_parts, secret_dfa
+from pricelode.llm import chat_parts, robust_outliers, secret_dfa, site_lines, spaced_seeds
 from pricelode.llm.common import table
 
 QUERIES = {
+    "op2_robust_outliers": lambda spark, root: robust_outliers.quality_query(table(spark, root, "documents")),
+    "op7_site_lines": lambda spark, root: site_lines.lines_query(table(spark, root, "documents")),
     "op8_chat_parts": lambda spark, root: chat_parts.chat_digest(table(spark, root, "conversations")),
     "op9_secret_automaton": lambda spark, root: secret_dfa.secret_digest(table(spark, root, "documents")),
+    "op10_spaced_seeds": lambda spark, root: spaced_seeds.overlap_query(table(spark, root, "documents"), table(spark, root, "benchmark")),
 }
-ORACLES = {"op8_chat_parts": chat_parts.CHAT_SQL}
+ORACLES = {"op7_site_lines": site_lines.LINES_SQL, "op8_chat_parts": chat_parts.CHAT_SQL}
