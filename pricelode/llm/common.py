@@ -54,7 +54,10 @@ def rowwise(df: DataFrame, column: str, out: T.StructType, work: Callable[[list[
             for a, b in slices([len(x) for x in data]):
                 made = work(data[a:b])
                 kept = [batch.column(i).slice(a, b - a) for i in range(n_keep)]
-                new = [pa.array(made[f.name], type=arrow.field(n_keep + i).type) for i, f in enumerate(out.fields)]
+                new = [
+                    x if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(n_keep + i).type)
+                    for i, x in enumerate(made[f.name] for f in out.fields)
+                ]
                 cols = [c.cast(arrow.field(i).type) if c.type != arrow.field(i).type else c for i, c in enumerate(kept + new)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from pricelode.llm import chat_parts, robust_outliers, secret_dfa, site_lines, spaced_seeds
+from pricelode.llm import (
+    bayes_jaccard, chat_parts, exact_shuffle, piece_codec, robust_outliers, secret_dfa, site_lines, spaced_seeds, wavelet_store,
+)
 from pricelode.llm.common import table
 
+
+def _documents(query):
+    return lambda spark, root: query(table(spark, root, "documents"))
+
+
 QUERIES = {
-    "op2_robust_outliers": lambda spark, root: robust_outliers.quality_query(table(spark, root, "documents")),
-    "op7_site_lines": lambda spark, root: site_lines.lines_query(table(spark, root, "documents")),
+    "op1_piece_codec": _documents(piece_codec.codec_query),
+    "op2_robust_outliers": _documents(robust_outliers.quality_query),
+    "op4_bayes_jaccard": _documents(bayes_jaccard.join_query),
+    "op5_wavelet_store": _documents(wavelet_store.store_query),
+    "op6_exact_shuffle": _documents(exact_shuffle.shards_query),
+    "op7_site_lines": _documents(site_lines.lines_query),
     "op8_chat_parts": lambda spark, root: chat_parts.chat_digest(table(spark, root, "conversations")),
-    "op9_secret_automaton": lambda spark, root: secret_dfa.secret_digest(table(spark, root, "documents")),
+    "op9_secret_automaton": _documents(secret_dfa.secret_digest),
     "op10_spaced_seeds": lambda spark, root: spaced_seeds.overlap_query(table(spark, root, "documents"), table(spark, root, "benchmark")),
 }
 ORACLES = {"op7_site_lines": site_lines.LINES_SQL, "op8_chat_parts": chat_parts.CHAT_SQL}
