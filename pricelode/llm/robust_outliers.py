@@ -192,7 +192,7 @@ def _distance(x, centre, inverse):
 def group_estimates(rows: DataFrame, rules: Rules) -> DataFrame:
     """One state per group of ``rows`` (grp, tie, x0..x4): the candidate of least determinant after the last step."""
     xs = [f"x{i}" for i in range(DIM)]
-    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("group_rows"))
+    sizes = materialize(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("group_rows")), "mcd-sizes")
     blocks = rows.join(sizes, "grp").withColumn(
         "block", F.pmod(F.xxhash64("tie"), F.ceil(F.col("group_rows") / rules.block_rows)).cast("int")
     )
@@ -265,6 +265,7 @@ def _judged(df: DataFrame, keep: list[str], text: str = "text", lang: str = "lan
     )
     rows = materialize(rows, "quality-vectors")
     enough = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("rows_of")).filter(F.col("rows_of") >= rules.min_rows)
+    enough = materialize(enough, "quality-enough")  # small and of known size: Spark can broadcast it instead of dealing hot groups
     states = materialize(group_estimates(rows.join(enough.select("grp"), "grp", "left_semi"), rules), "quality-states")
     d2 = _distance([F.col(f"x{i}") for i in range(DIM)], F.col("centre"), F.col("inverse"))
     distance = F.when(~F.col("base_failed"), d2)
