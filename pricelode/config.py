@@ -223,3 +223,27 @@ class Params:
     score: ScoreParams = field(default_factory=ScoreParams)
     state: StateParams = field(default_factory=StateParams)
     trend: TrendParams = field(default_factory=TrendParams)
+
+# --- registration numbers on pages (fixed values) ---------------------------------
+
+REG_LABEL = r"(?:\bregistreringsnummer\b|\bregistreringsnr\b|\breg\.?\s*nr\.?|\bregnr\b|\breg\.?\s*nummer\b)"
+REG_KEYS = (
+    "registrationnumber",
+    "registration_number",
+    "registrationno",
+    "registration_no",
+    "registernumber",
+    "reg_number",
+    "regnr",
+    "registration",
+)
+# Attribute names may also just contain one of these.
+REG_KEY_WORDS = ("registration", "regnr")
+# Characters behind a label that are searched, first and second pass.
+REG_NEAR, REG_FAR = 30, 100
+
+# --- lengths of shown texts (fixed values) ------------------------------------------
+
+CARD_TRIM_LENGTH = 60
+REPORT_VARIANT_LENGTH = 80
+REJECTED_SAMPLE = 5

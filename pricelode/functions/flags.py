@@ -15,8 +15,3 @@ def is_true(col: Column, dtype: str = "boolean") -> Column:
     if dtype == "string":
         return F.coalesce(~F.lower(F.trim(col)).isin(*FALSE_WORDS), F.lit(False))
     return F.coalesce(col != 0, F.lit(False))
-
-
-def known_equal(left: Column, right: Column) -> Column:
-    """1/0 for known on both sides and equal; null when unknown on a side."""
-    return F.when(left.isNotNull() & right.isNotNull(), (left == right).cast("int"))

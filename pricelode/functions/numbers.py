@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def to_number(col: Column) -> Column:
-    """Lenient number from text: spaces dropped, decimal comma, other signs cut."""
+    """Lenient number: text without spaces and other signs, with a decimal comma; numbers as they are; no booleans."""
     text = F.translate(F.replace(col.cast("string"), F.lit(" "), F.lit("")), ",", ".")
-    return F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double")
+    read = F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double")
+    kind = F.typeof(col)
+    return F.when(kind == "string", read).when(kind != "boolean", col.try_cast("double"))
 
 
 def to_int(col: Column) -> Column:

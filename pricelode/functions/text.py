@@ -7,7 +7,9 @@ makes ``\\s \\w \\d \\b`` Unicode-aware.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +20,44 @@ _BASE = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuu
 assert len(_MARKED) == len(_BASE)
 
 
+@cache
+def _compatible() -> tuple[str, str, dict[str, str]]:
+    """Compatibility forms by Unicode's own rule: (signs, their single base signs, signs of several base signs).
+
+    Hangul syllables stay whole.
+    """
+    single, several = {}, {}
+    for point in range(0x80, 0xFFFF):
+        sign = chr(point)
+        if 0xAC00 <= point <= 0xD7A3 or 0xD800 <= point <= 0xDFFF or sign in _MARKED:
+            continue
+        base = "".join(c for c in unicodedata.normalize("NFKD", sign.lower()) if not unicodedata.combining(c))
+        if base != sign and len(base) == 1:
+            single[sign] = base
+        elif base != sign and base:
+            several[sign] = base
+    return "".join(single), "".join(single.values()), several
+
+
+def fold_compatible(col: Column) -> Column:
+    """Ligatures, wide letters, fractions, numbers in circles and the like as their plain signs."""
+    marked, bases, several = _compatible()
+    table = F.str_to_map(F.lit("\u0001".join(f"{a}\u0002{b}" for a, b in several.items())), F.lit("\u0001"), F.lit("\u0002"))
+    text = F.translate(col, marked, bases)
+    signs = "".join(several)
+    runs = F.regexp_extract_all(text, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
+    spelled = F.array_join(F.transform(runs, lambda r: F.coalesce(F.element_at(table, r), r)), "")
+    return F.when(F.translate(text, signs, "") != text, spelled).otherwise(text)
+
+
+def title_words(col: Column) -> Column:
+    """A capital at the start of every run of letters, small letters behind it."""
+    runs = F.regexp_extract_all(col, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(
+        F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(r.substr(F.lit(2), F.length(r))))), ""
+    )
+
+
 _BLANKS = " \t\n\r\x0b\x0c\xa0"
 
 
@@ -29,7 +69,7 @@ def strip(col: Column) -> Column:
 def norm_text(col: Column) -> Column:
     """Comparison form of a text: lower case, no accents, no punctuation."""
     text = F.lower(F.coalesce(col.cast("string"), F.lit("")))
-    text = F.translate(text, _MARKED, _BASE)
+    text = fold_compatible(F.translate(text, _MARKED, _BASE))
     text = F.regexp_replace(text, r"\p{M}+", "")
     text = F.replace(text, F.lit("&"), F.lit(" och "))
     text = F.regexp_replace(text, r"(?U)[^\w\s]+|[/_|(),;:+\-]+", " ")

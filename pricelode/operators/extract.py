@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelode.config import WatchRule
+from pricelode.config import (
+    CARD_TRIM_LENGTH, REG_FAR, REG_KEY_WORDS, REG_KEYS, REG_LABEL, REG_NEAR, REJECTED_SAMPLE, WatchRule,
+)
 from pricelode.functions.text import (
     blank_to_null,
     body_type,
@@ -42,9 +44,9 @@ def strip_tags(html: Column, gap: str) -> Column:
 
 
 def card_pattern(anchor: str) -> str:
-    """Labels of a search card in page order around the model name (fixed values)."""
+    """Labels of a search card in page order around the model name (fixed values); needs the flags s and U."""
     return (
-        r"(?sU)Plats:(.*?)Återförsäljare:(.*?)(?:I lager)?" + quote_pattern(anchor)
+        r"Plats:(.*?)Återförsäljare:(.*?)(?:I lager)?" + quote_pattern(anchor)
         + r"(.*?)Fuel Type:(.*?)Mätarställning:([\d\s]+?)\s*milModel Year:(\d{4})"
         + r"Gearbox Type:(.*?)Kontantpris([\d\s]+?)\s*kr"
     )
@@ -60,11 +62,13 @@ def cards(pages: DataFrame, rule: WatchRule, base: str = "") -> DataFrame:
     parts = pages.select("page_id", F.posexplode(pieces).alias("pos", "piece")).filter("pos > 0")
     parts = parts.withColumn("link", F.regexp_extract("piece", rf"^{OBJECT_LINK}", 0))
     text = strip_tags(F.regexp_replace("piece", r"^[^>]*>", ""), "")
-    pattern = card_pattern(rule.card_anchor)
-    group = lambda i: F.regexp_extract("text", pattern, i)
-    found = parts.filter(F.length("link") > 0).select("page_id", "pos", "link", text.alias("text")).filter(
-        F.col("text").rlike(pattern)
-    )
+    # One run of the pattern: its first match as its groups, parted by a sign that is in no page.
+    whole = r"(?sU)^.*?" + card_pattern(rule.card_anchor) + r".*$"
+    read = F.split(F.regexp_replace(text, whole, "\u0001" + "\u0001".join(f"${i}" for i in range(1, 9))), "\u0001")
+    # The one-element explode keeps the optimizer from repeating the text step in every use.
+    found = parts.filter(F.length("link") > 0).select("page_id", "pos", "link", F.explode(F.array(read)).alias("read"))
+    found = found.filter(F.size("read") == 9)
+    group = lambda i: F.get(F.col("read"), F.lit(i))
     found = found.select(
         "page_id", "pos", F.concat(F.lit(base), F.col("link")).alias("url"),
         group(1).alias("place"), group(2).alias("dealer"), group(3).alias("title"), group(4).alias("fuel"),
@@ -78,8 +82,11 @@ def sold(dealer: Column) -> Column:
     return F.coalesce(dealer.rlike(r"(?iu)sål[dt]"), F.lit(False))
 
 
-def card_listings(found: DataFrame, rule: WatchRule, source: str) -> DataFrame:
-    """Cards as listings; sold ones and unknown variants are left out."""
+def card_listings(found: DataFrame, rule: WatchRule, source: str, trim_length: int = CARD_TRIM_LENGTH) -> DataFrame:
+    """Cards as listings; sold ones and unknown variants are left out.
+
+    ``trim`` shows the first ``trim_length`` characters of the title; ``full_title`` has all of it.
+    """
     title = strip(F.col("title"))
     variant = variant_of(F.concat(F.lit(f"{rule.card_anchor} "), F.col("title")), rule)
     return found.filter(~sold(F.col("dealer"))).select(
@@ -95,7 +102,8 @@ def card_listings(found: DataFrame, rule: WatchRule, source: str) -> DataFrame:
         digits(F.col("price")).cast("double").alias("price"),
         gearbox(F.col("gearbox")).alias("gearbox"),
         F.lit(False).alias("damaged"),
-        blank_to_null(F.substring(title, 1, 60)).alias("trim"),
+        blank_to_null(F.substring(title, 1, trim_length)).alias("trim"),
+        blank_to_null(title).alias("full_title"),
         strip(F.col("place")).alias("place"),
         strip(F.col("dealer")).alias("dealer"),
     ).filter(F.col("variant").isNotNull())
@@ -150,7 +158,7 @@ def needs_body_check(slug_text: Column, rule: WatchRule) -> Column:
     return has(rule.body_model_pattern) & has(rule.body_drive_pattern) & ~has(rf"\b{rule.body}\b")
 
 
-def rejected_slugs(parsed: DataFrame, sample: int = 5) -> DataFrame:
+def rejected_slugs(parsed: DataFrame, sample: int = REJECTED_SAMPLE) -> DataFrame:
     """Per page: ids seen, slugs kept, and the first slugs that fit no variant."""
     first = Window.partitionBy("page_id").orderBy("pos")
     few = (
@@ -179,8 +187,8 @@ def _first(*options: Column) -> Column:
     return F.coalesce(*[blank_to_null(o) for o in options])
 
 
-def detail_facts(pages: DataFrame) -> DataFrame:
-    """Price, mileage, owners, auction, registration number and body of each page.
+def detail_facts(pages: DataFrame, body_word: str = "touring") -> DataFrame:
+    """Price, mileage, owners, auction, registration number and body of each page, and whether it says ``body_word``.
 
     Pages without a readable price or mileage are left out.
     """
@@ -207,7 +215,7 @@ def detail_facts(pages: DataFrame) -> DataFrame:
         F.col("text").rlike(r"(?iu)auktionsobjekt").alias("auction"),
         regno(F.col("html"), F.col("flat")).alias("reg_no"),
         body_type(F.col("flat")).alias("body"),
-        F.col("flat").rlike(r"(?iuU)\btouring\b").alias("mentions_touring"),
+        F.col("flat").rlike(rf"(?iuU)\b{quote_pattern(body_word)}\b").alias("mentions_body"),
         digits(F.col("found.price")).alias("price"),
         digits(F.col("found.mileage")).alias("mileage"),
     )
@@ -219,9 +227,10 @@ def detail_join(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     Copies of a page are dropped before the patterns run; candidates whose
     page cannot be read disappear.
     """
-    once = pages.groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
-    wanted = once.join(candidates.select("url").distinct(), "url", "left_semi")
-    facts = detail_facts(wanted)
+    wanted = pages.select("url", "page_id").join(candidates.select("url").distinct(), "url", "left_semi")
+    first = wanted.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    once = pages.join(first, ["url", "page_id"]).select("url", "html").dropDuplicates(["url"])
+    facts = detail_facts(once)
     return candidates.join(facts, "url")
 
 
@@ -241,35 +250,42 @@ def coverage(facts: DataFrame, column: str = "reg_no") -> DataFrame:
 
 # --- registration numbers ---------------------------------------------------------
 
-_LABEL = (
-    r"(?:\bregistreringsnummer\b|\bregistreringsnr\b|\breg\.?\s*nr\.?|\bregnr\b|\breg\.?\s*nummer\b)"
-)
-_KEY = r"(?:registration[_-]?(?:number|no)?|registernumber|reg[_-]?number|regnr)"
+
+
+def _key_pattern() -> str:
+    """Attribute names that contain one of the keys, with or without signs between its words."""
+    return "(?:" + "|".join(sorted(REG_KEYS + REG_KEY_WORDS, key=len, reverse=True)).replace("_", "[_-]?") + ")"
 
 
 def regno(html: Column, flat: Column) -> Column:
     """A registration number tied to a label or key; null when there is none.
 
-    In order: right after a label in the visible text, within 100 characters
-    of it, in an attribute named for it, in a JSON block, in the raw page.
+    In order: within ``REG_NEAR`` characters after any label in the visible
+    text, within ``REG_FAR`` of any, in an attribute named for it, in a JSON
+    block (keys compared by letters and digits only), in the raw page.
     """
-    after = lambda text, n: F.regexp_extract(text, rf"(?isuU){_LABEL}[\s:;=\-–—]*(.{{0,{n}}})", 1)
+    windows = lambda text, n: F.regexp_extract_all(
+        text, F.lit(rf"(?isuU){REG_LABEL}(?=[\s:;=\-–—]*(.{{0,{n}}}))"), F.lit(1)
+    )
     first_valid = lambda found: F.get(
         F.filter(F.transform(found, find_regno), lambda v: v.isNotNull()), F.lit(0)
     )
     attributes = F.regexp_extract_all(
-        html, F.lit(rf"""(?isu)\s[\w-]*{_KEY}[\w-]*\s*=\s*["']([^"']*)["']"""), F.lit(1)
+        html, F.lit(rf"""(?isu)\s[\w-]*{_key_pattern()}[\w-]*\s*=\s*["']([^"']*)["']"""), F.lit(1)
     )
     scripts = F.regexp_extract_all(
         html, F.lit(r"""(?is)<script\b[^>]*\btype\s*=\s*["'][^"']*json[^"']*["'][^>]*>(.*?)</script>"""), F.lit(1)
     )
-    values = F.flatten(F.transform(
-        scripts, lambda s: F.regexp_extract_all(s, F.lit(rf"""(?isu)"{_KEY}"\s*:\s*"([^"]*)\""""), F.lit(1))
-    ))
+    pairs = r"""(?s)"([^"]*)"\s*:\s*(?:"([^"]*)"|(-?[\w.+]+))"""
+    part = lambda s, i: F.regexp_extract_all(s, F.lit(pairs), F.lit(i))
+    plain_key = lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", "")
+    values = F.flatten(F.transform(scripts, lambda s: F.transform(
+        F.filter(F.arrays_zip(part(s, 1), part(s, 2)), lambda p: plain_key(p["0"]).isin(*REG_KEYS)), lambda p: p["1"]
+    )))
     return F.coalesce(
-        find_regno(after(flat, 30)),
-        find_regno(after(flat, 100)),
+        first_valid(windows(flat, REG_NEAR)),
+        first_valid(windows(flat, REG_FAR)),
         first_valid(attributes),
         first_valid(values),
-        find_regno(after(F.regexp_replace(strip_tags(html, " "), r"(?U)\s+", " "), 100)),
+        first_valid(windows(F.regexp_replace(strip_tags(html, " "), r"(?U)\s+", " "), REG_FAR)),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricelode.config import (
     KIND_LISTING,
+    REPORT_VARIANT_LENGTH,
     TREND_DOWN,
     TREND_FLAT,
     TREND_INSUFFICIENT,
@@ -123,11 +124,13 @@ def kind_counts(observations: DataFrame) -> DataFrame:
 _STATUS = {TREND_UP: "UPP", TREND_DOWN: "NED", TREND_STABLE: "STABIL"}
 
 
-def trend_report(trends: DataFrame) -> DataFrame:
-    """One text line per category."""
+def trend_report(trends: DataFrame, variant_length: int = REPORT_VARIANT_LENGTH) -> DataFrame:
+    """One text line per category; a variant shows its first ``variant_length`` characters."""
     parts = F.split("category", r"\|")
     variant = F.trim(parts[1])
-    short = F.when(F.length(variant) > 80, F.concat(F.substring(variant, 1, 77), F.lit("..."))).otherwise(variant)
+    short = F.when(
+        F.length(variant) > variant_length, F.concat(F.substring(variant, 1, variant_length - 3), F.lit("..."))
+    ).otherwise(variant)
     name = F.when(
         F.size(parts) == 3, F.concat_ws(" | ", F.trim(parts[0]), short, parts[2])
     ).otherwise(F.col("category"))

@@ -11,7 +11,7 @@ from pricelode.functions.flags import is_true
 from pricelode.operators import clean, extract
 from pricelode.session import scratch_path
 from pricelode.sources import observation_log, records
-from pricelode.sources.tables import listings, read_table, spread
+from pricelode.sources.tables import listings, read_table
 
 _BRANDS = tuple((f"Brand#{i}", (rf"\bbrand#{i}\b",)) for i in range(1, 21))
 WATCH = (
@@ -29,19 +29,19 @@ BMW = WATCH_LIST[2]
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
-    return spread(read_table(spark, root, "documents").select("doc_id", "text"))
+    return read_table(spark, root, "documents").select("doc_id", "text")
 
 
 def pages(spark: SparkSession, root: str) -> DataFrame:
-    return spread(read_table(spark, root, "pages"))
+    return read_table(spark, root, "pages")
 
 
 # --- pages derived from sales lines -------------------------------------------------
 
 
 def _lines(spark: SparkSession, root: str) -> DataFrame:
-    lines = spread(read_table(spark, root, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"))
+    lines = read_table(spark, root, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     part = read_table(spark, root, "part").select("p_partkey", "p_name")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumns(
@@ -104,11 +104,12 @@ def detail_pages(spark: SparkSession, root: str) -> DataFrame:
     reg = F.concat(F.lit("ABC"), F.lpad((F.col("cents") % 1000).cast("string"), 3, "0"))
     where = F.col("l_partkey") % 6
     reg_html = (
-        F.when(where == 0, F.concat(F.lit("<p>Regnr: "), reg, F.lit("</p>")))
+        F.when(where == 0, F.concat(F.lit("<p>Registreringsnummer saknas i annonsen</p><p>"), F.repeat(F.lit("utan nummer "), F.lit(15)),
+                                F.lit("</p><p>Regnr | "), reg, F.lit("</p>")))
         .when(where == 1, F.concat(F.lit("<dl><dt>Registreringsnummer</dt><dd>"), F.substring(reg, 1, 3), F.lit(" "),
                                    F.substring(reg, 4, 3), F.lit("</dd></dl>")))
         .when(where == 2, F.concat(F.lit('<div data-regnr="'), F.lower(reg), F.lit('">x</div>')))
-        .when(where == 3, F.concat(F.lit('<script type="application/ld+json">{"a":{"registrationNumber":"'), reg,
+        .when(where == 3, F.concat(F.lit('<script type="application/ld+json">{"x":1,"a":{"Registration-Number":"'), reg,
                                    F.lit('"}}</script>')))
         .when(where == 4, F.concat(F.lit("<p>Kod "), reg, F.lit("</p>")))
         .otherwise("")
@@ -176,7 +177,7 @@ def _flags(spark, root):
 
 
 def _truth(spark, root):
-    conv = spread(read_table(spark, root, "conversations"))
+    conv = read_table(spark, root, "conversations")
     word = F.element_at(
         F.array(*[F.lit(w) for w in (" Ja", "NEJ ", "0", "1", "", "none", "x")]),
         ((F.col("conv_id") + F.col("turn")) % 7 + 1).cast("int"),
@@ -274,7 +275,7 @@ def _body(spark, root):
 
 def _body_rule(spark, root):
     facts = extract.detail_facts(detail_pages(spark, root))
-    return facts.select("page_id", extract.body_matches(F.col("body"), F.col("mentions_touring"), BMW).alias("accepted"))
+    return facts.select("page_id", extract.body_matches(F.col("body"), F.col("mentions_body"), BMW).alias("accepted"))
 
 
 def _tokens(spark, root):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricelode.operators import history, state, trend
 from pricelode.sources import state_store
-from pricelode.sources.tables import event_observations, listings, part_observations, spread
+from pricelode.sources.tables import event_observations, listings, part_observations
 from pricelode.plans.valuation_queries import as_of
 
 CUT = "2000-01-01"
@@ -25,7 +25,7 @@ def category_observations(spark: SparkSession, root: str) -> DataFrame:
     """Listings dated by their sale as observations of (model, variant, year)."""
     from pricelode.sources.tables import read_table
 
-    lines = spread(read_table(spark, root, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice"))
+    lines = read_table(spark, root, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice")
     part = read_table(spark, root, "part").select("p_partkey", "p_type", "p_brand")
     return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.lit("annons").alias("kind"),
@@ -158,9 +158,10 @@ def _kinds(spark, root):
 
 
 def _listing_trend(spark, root):
-    # Half of the categories have no trend row, so defaults occur.
-    known = trend.trend_table(category_observations(spark, root).filter("variant < 'Brand#2'"))
-    return trend.with_trend(listings(spark, root), known).select(
+    # Some listings are moved to years without observations, so defaults occur.
+    known = trend.trend_table(category_observations(spark, root))
+    moved = F.when(F.col("variant") < "Brand#2", F.col("model_year")).otherwise(F.col("model_year") + 50)
+    return trend.with_trend(listings(spark, root).withColumn("model_year", moved), known).select(
         "listing_id", "market_trend", "market_strength", F.round("market_change_percent", 6).alias("change_percent"),
         F.round("market_change", 6).alias("change"), _day("market_start_day"), _day("market_end_day"),
         "market_n_days", "market_window_days",

@@ -127,11 +127,11 @@ ORACLES = {
         || ' | dagar=' || n_days || ' | steg=' || strength || ' | förändring=' || {P.thousands('round_even(change, 0)')} || ' kr ('
         || printf('%+.2f', change_percent) || ' %)' AS line FROM trends""",
     "observation_kinds": f"WITH {_OBS} SELECT kind, count(*) AS n FROM obs GROUP BY 1",
-    "listing_trend": f"""WITH {P.LISTINGS}, {_CATEGORY_DAILY.format(where="WHERE p_brand < 'Brand#2'")}{_TREND}
+    "listing_trend": f"""WITH {P.LISTINGS}, {_CATEGORY_DAILY.format(where="")}{_TREND}
         SELECT listing_id, coalesce(trend, 'otillrackligt_underlag') AS market_trend, coalesce(strength, 0) AS market_strength,
         round(coalesce(change_percent, 0.0), 6) AS change_percent, round(coalesce(change, 0.0), 6) AS change,
         start_day AS market_start_day, end_day AS market_end_day, coalesce(n_days, 0) AS market_n_days, 14 AS market_window_days
-        FROM listings LEFT JOIN trends ON category = model || '|' || lower(variant) || '|' || model_year""",
+        FROM listings LEFT JOIN trends ON category = model || '|' || lower(variant) || '|' || (model_year + CASE WHEN variant < 'Brand#2' THEN 0 ELSE 50 END)""",
     "state_key": f"WITH {_PART_LISTINGS} SELECT k1, k2, k3, k4, k5, {_KEY.format(year='model_year')} AS state_key FROM pl",
     "state_key_migration": f"WITH {_RUN} SELECT state_key, record_key FROM resolved",
     "state_upsert": f"""WITH {_RUN} SELECT state_key, strftime(first_seen, '%Y-%m-%d') AS first_seen, first_price, last_price,

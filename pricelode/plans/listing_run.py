@@ -6,6 +6,7 @@ The steps are lazy DataFrames; tables are written only where results are kept
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,10 +30,13 @@ class RunResult:
 
 def run(
     listings: DataFrame, store: StateStore, log_root: str, as_of: Column, run_ts: Column,
-    params: Params | None = None,
+    params: Params | None = None, run_id: str | None = None,
 ) -> RunResult:
-    """Process ``listings``; state and log below the given places are advanced."""
-    params = params or Params()
+    """Process ``listings``; state and log below the given places are advanced.
+
+    A run that is repeated under its ``run_id`` replaces its log records.
+    """
+    params, run_id = params or Params(), run_id or uuid.uuid4().hex
     spark = listings.sparkSession
     kept = clean.meets_requirements(listings, params.requirements)
     unique = cluster.survivors(kept, params.matching)
@@ -42,7 +46,7 @@ def run(
     after = materialize(after, "run-state")
 
     # History describes earlier runs; the trend includes this one.
-    observation_log.append(observation_log.listing_records(rows, run_ts), log_root, params.trend.timezone)
+    observation_log.append(observation_log.listing_records(rows, run_ts), log_root, params.trend.timezone, f"{run_id}-listings")
     log = observation_log.scan_log(spark, log_root)
     rows = history.with_history(rows, history.history_metrics(log, run_ts))
     trends = trend.trend_table(log, params.trend)
@@ -56,7 +60,7 @@ def run(
         observation_log.valuation_records(
             staged.filter(~F.col("stage").isin("leasing", "mileage", "valuation_error")), run_ts
         ),
-        log_root, params.trend.timezone,
+        log_root, params.trend.timezone, f"{run_id}-values",
     )
 
     decided = materialize(

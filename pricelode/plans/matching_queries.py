@@ -9,7 +9,7 @@ from pricelode.functions import numbers, text
 from pricelode.functions.similarity import text_similarity
 from pricelode.operators import cluster, match
 from pricelode.session import materialize
-from pricelode.sources.tables import listings, read_table, spread
+from pricelode.sources.tables import listings, read_table
 
 PARAMS = MatchParams()
 KEYS = ("k1", "k2", "k3", "k4", "k5")
@@ -131,8 +131,9 @@ def _components(spark, root):
 
 
 def _norm_text(spark, root):
-    docs = spread(read_table(spark, root, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.md5(text.norm_text(F.col("text"))).alias("digest"))
+    docs = read_table(spark, root, "documents").select("doc_id", "text")
+    raw = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " ﬁn ½ ＡＢ ① Ⅳ").otherwise(""))
+    return docs.select("doc_id", F.md5(text.norm_text(raw)).alias("digest"))
 
 
 def _norm_id(spark, root):
@@ -153,7 +154,11 @@ def _numbers(spark, root):
         F.format_string("%03d", (F.col("p_partkey") % 1000).cast("int")), F.lit(",5"),
     )
     raw = F.when(F.col("p_partkey") % 7 == 0, "okänt").otherwise(raw)
-    return df.select("p_partkey", numbers.to_number(raw).alias("number"), numbers.to_int(raw).alias("whole"))
+    big = F.col("p_partkey").cast("double") * 1e7 + 0.25
+    return df.select(
+        "p_partkey", numbers.to_number(raw).alias("number"), numbers.to_int(raw).alias("whole"),
+        numbers.to_number(big).alias("from_number"), numbers.to_number(F.col("p_partkey") > 3).alias("from_flag"),
+    )
 
 
 def _text_similarity(spark, root):

@@ -61,10 +61,12 @@ ORACLES = {
         FROM heads JOIN prof p ON p.seq = start JOIN prof h ON h.seq = head""",
     "mileage_price_similarity": f"""{_LIST} SELECT listing_id, round({_MIL}, 6) AS mileage_similarity, round({_PRICE}, 6) AS price_similarity
         FROM (SELECT listing_id, CAST(mileage % 400 AS DOUBLE) AS gap, price % 7000 AS pgap FROM listings)""",
-    "norm_text": r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(strip_accents(lower(text)), '&', ' och '),
+    "norm_text": r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(strip_accents(lower(text)), '&', ' och ')
+          || CASE WHEN doc_id % 3 = 0 THEN ' fin 1 2 ab 1 iv' ELSE '' END,
         '[^\pL\pN_\s]+|[/_|(),;:+\-]+', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents""",
     "norm_id": "SELECT page_id, upper(regexp_replace(url, '[^A-Za-z0-9]', '', 'g')) AS norm_id FROM pages",
     "norm_variant": """SELECT p_partkey, 'xdrive och ' || p_name || ' 4motion plugin e' || replace(lower(p_brand), '#', ' ') AS norm_variant FROM part""",
     "lenient_numbers": """SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_size * 1000 + p_partkey % 1000 + 0.5::DOUBLE END AS number,
-        CAST(CASE WHEN p_partkey % 7 <> 0 THEN round_even(p_size * 1000 + p_partkey % 1000 + 0.5::DOUBLE, 0) END AS BIGINT) AS whole FROM part""",
+        CAST(CASE WHEN p_partkey % 7 <> 0 THEN round_even(p_size * 1000 + p_partkey % 1000 + 0.5::DOUBLE, 0) END AS BIGINT) AS whole,
+        CAST(p_partkey AS DOUBLE) * 1e7 + 0.25 AS from_number, CAST(NULL AS DOUBLE) AS from_flag FROM part""",
 }

@@ -13,19 +13,20 @@ from pricelode.streaming.alert_state import keyed_alerts
 from pricelode.streaming.intake import ListingIntake
 
 
-def _land(spark, root) -> tuple[str, object]:
+def _land(spark, root) -> tuple[str, object, int]:
     landing = scratch_path(spark, "landing")
     rows = part_listings(spark, root).drop("part")
-    # Two files per key range: the older half of the rows lands first.
-    rows.filter("model_year < 1999").coalesce(1).write.mode("append").parquet(landing)
-    rows.filter("model_year >= 1999").coalesce(1).write.mode("append").parquet(landing)
-    return landing, rows.schema
+    # The older half of the rows lands first; each half is written by all tasks.
+    older, files = F.coalesce(F.col("model_year") < 1999, F.lit(False)), spark.sparkContext.defaultParallelism
+    rows.filter(older).repartition(files).write.mode("append").parquet(landing)
+    rows.filter(~older).repartition(files).write.mode("append").parquet(landing)
+    return landing, rows.schema, files
 
 
 def _intake(spark, root):
-    landing, schema = _land(spark, root)
+    landing, schema, files = _land(spark, root)
     intake = ListingIntake(spark, scratch_path(spark, "stream-state"), scratch_path(spark, "stream-alerts"), as_of())
-    query = intake.start(landing, schema, scratch_path(spark, "stream-checkpoint"), files_per_batch=1)
+    query = intake.start(landing, schema, scratch_path(spark, "stream-checkpoint"), files_per_batch=files)
     query.awaitTermination()
     return StateStore(spark, intake.state_root).load().select(
         "state_key", "first_price", "last_price", "notified", "notified_price"
@@ -33,7 +34,7 @@ def _intake(spark, root):
 
 
 def _keyed(spark, root):
-    landing, schema = _land(spark, root)
+    landing, schema, _ = _land(spark, root)
     out, name = scratch_path(spark, "keyed-out"), scratch_path(spark, "keyed-checkpoint")
     stream = spark.readStream.schema(schema).parquet(landing)
     keyed = stream.filter("listing_id is not null").withColumn("state_key", F.concat(F.lit("annons:"), "listing_id")).select(

@@ -231,13 +231,15 @@ def _top(spark, root):
     from pricelode.plans.clean_queries import WATCH
 
     df = score.with_display_title(_funnel_rows(spark, root), WATCH)
-    return funnel.top_report(funnel.candidate_records(df, as_of(), MARKET, SCORE), SCORE)
+    df = funnel.candidate_records(df, as_of(), MARKET, SCORE)
+    return funnel.top_report(df.withColumn("trim", F.replace("trim", F.lit(" "), F.lit(", "))), SCORE)
 
 
 def _messages(spark, root):
     from pricelode.plans.clean_queries import WATCH
 
     df = _funnel_rows(spark, root).filter(F.col("stage") == "sent")
+    df = df.withColumn("trim", F.concat(F.lit("x2"), F.replace("trim", F.lit(" "), F.lit("-")), F.lit(" 4MOTION")))
     return score.alert_messages(score.with_display_title(df, WATCH)).select("listing_id", "subject", "message")
 
 

@@ -74,14 +74,14 @@ ORACLES = {
         CAST(round_even(mileage - {_EXPECTED}, 0) AS BIGINT) AS mileage_deviation,
         CAST(round_even((mileage - {_EXPECTED}) * -12.0, 0) AS BIGINT) AS mileage_effect
         FROM staged WHERE stage IN ('low_score', 'sent')""",
-    "top_candidates": f"""{_STAGED} SELECT listing_id, score, diff,
-        lpad(CAST(score AS VARCHAR), 3, ' ') || '/100 | ' || model_year || ' | ' || {_N('mileage')} || ' mil | ' || {_N('price')}
-          || ' kr | diff +' || {_N('diff')} || ' | ' || title || ' | ' || trim || ' | ' || {_CANDIDATE_STATUS} AS line,
+    "top_candidates": f"""{_STAGED} SELECT CAST(row_number() OVER (ORDER BY score DESC, diff DESC, seq) AS INTEGER) AS rank, listing_id, score, diff,
+        lpad(CAST(row_number() OVER (ORDER BY score DESC, diff DESC, seq) AS VARCHAR), 2, '0') || '. ' || lpad(CAST(score AS VARCHAR), 3, ' ') || '/100 | ' || model_year || ' | ' || {_N('mileage')} || ' mil | ' || {_N('price')}
+          || ' kr | diff +' || {_N('diff')} || ' | ' || title || ' | ' || replace(trim, ' ', '  ') || ' | ' || {_CANDIDATE_STATUS} AS line,
         'Pris: ' || price_points || '/60 | Miltal: ' || mileage_points || '/20 | Utrustning: ' || equipment_points
           || '/5 | Trygghet: ' || trust_points || '/15' AS points, CAST(NULL AS VARCHAR) AS history
         FROM staged WHERE stage IN ('low_score', 'sent') ORDER BY score DESC, diff DESC, seq LIMIT 20""",
-    "alert_messages": f"""{_STAGED}, words AS (SELECT *, array_to_string(list_transform(string_split(trim, ' '),
-          lambda w: upper(w[1]) || w[2:]), ' ') AS big_trim FROM staged WHERE stage = 'sent')
+    "alert_messages": f"""{_STAGED}, words AS (SELECT *, 'X2' || array_to_string(list_transform(string_split(trim, ' '),
+          lambda w: upper(w[1]) || w[2:]), '-') || ' 4Motion' AS big_trim FROM staged WHERE stage = 'sent')
         SELECT listing_id, score_level || ': ' || title || ' ' || model_year || ' - ' || {_N('diff')} || ' kr under marknad' AS subject,
         concat_ws(chr(10), score_level || ' – ' || title,
           model_year || ' · ' || {_N('mileage')} || ' mil · ' || {_N('price')} || ' kr',

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricelode.functions.numbers import to_int, to_number
+
 _TYPES = {
     "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
     "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType(),
@@ -48,11 +50,25 @@ STATE = struct(
 )
 
 
+def _read(col: Column, kind: T.DataType, given: str) -> Column:
+    if isinstance(kind, (T.IntegerType, T.LongType)) and (given in ("string", "float", "double") or given.startswith("decimal")):
+        return to_int(col).cast(kind)
+    if given != "string" or isinstance(kind, T.StringType):
+        return col.cast(kind)
+    if isinstance(kind, T.DoubleType):
+        return to_number(col)
+    return col.try_cast(kind)
+
+
 def conform(df: DataFrame, schema: T.StructType = LISTING) -> DataFrame:
-    """Give ``df`` every column of ``schema`` with its type; extra columns stay."""
+    """Give ``df`` every column of ``schema`` with its type; extra columns stay.
+
+    Numbers are read leniently from texts, and whole numbers are rounded; a text that is no number, flag or date is null.
+    """
     have = set(df.columns)
+    kinds = dict(df.dtypes)
     cols = [
-        F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have
+        _read(F.col(f.name), f.dataType, kinds[f.name]).alias(f.name) if f.name in have
         else F.lit(None).cast(f.dataType).alias(f.name)
         for f in schema.fields
     ]

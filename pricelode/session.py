@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(SHARED_DIR_KEY, None)
     if not configured:
         current = spark.sparkContext.getCheckpointDir()
+        if not current and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {SHARED_DIR_KEY} to a folder that all executors share")
         configured = current or tempfile.mkdtemp(prefix="pricelode-")
         spark.conf.set(SHARED_DIR_KEY, configured)
     if spark.sparkContext.getCheckpointDir() is None:

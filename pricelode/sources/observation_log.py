@@ -46,11 +46,12 @@ def valuation_records(valued: DataFrame, ts: Column) -> DataFrame:
     return conform(out, OBSERVATION)
 
 
-def append(records: DataFrame, root: str, timezone: str = TrendParams.timezone) -> None:
+def append(records: DataFrame, root: str, timezone: str = TrendParams.timezone, run_id: str | None = None) -> None:
+    """Adds records by month; those of a named run replace what an earlier attempt of the run has written."""
     local = F.convert_timezone(None, F.lit(timezone), F.col("ts"))
-    records.withColumn("month", F.date_format(local, "yyyy-MM")).write.mode("append").partitionBy("month").json(
-        f"{root.rstrip('/')}/records"
-    )
+    folder = f"{root.rstrip('/')}/records" + (f"/run-{run_id}" if run_id else "")
+    rows = records.withColumn("month", F.date_format(local, "yyyy-MM")).write.partitionBy("month")
+    rows.mode("overwrite" if run_id else "append").json(folder)
 
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
@@ -58,7 +59,7 @@ def scan(spark: SparkSession, *paths: str) -> DataFrame:
     schema = T.StructType([*OBSERVATION.fields, T.StructField(_BAD, T.StringType())])
     rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", _BAD
-    ).json(list(paths))
+    ).option("recursiveFileLookup", "true").json(list(paths))
     return rows.filter(F.col(_BAD).isNull() & F.col("kind").isNotNull()).select(*OBSERVATION.fieldNames())
 
 

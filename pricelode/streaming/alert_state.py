@@ -25,22 +25,26 @@ def keyed_alerts(stream: DataFrame, params: StateParams | None = None) -> DataFr
     """One row per key and micro-batch with its state after the batch.
 
     ``stream`` has ``state_key``, ``pos`` (order within the stream) and
-    ``price``.  Of a key's rows only lowest-so-far prices can raise an alert,
-    so just these are kept while the batch is read.
+    ``price``.  Rows without a price are counted and change nothing else; of the
+    others only lowest-so-far prices can raise an alert.
     """
     params = params or StateParams()
     drop = params.realert_drop
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        frame = pd.concat([b[["pos", "price"]] for b in batches]).sort_values("pos")
-        prices = frame["price"].astype("float64")
-        known = state.get if state.exists else None
-        n, first, last, alerts, bar = known if known else (0, float(prices.iloc[0]), None, 0, None)
+        rows, parts = 0, []
+        for batch in batches:
+            rows += len(batch)
+            parts.append(batch[["pos", "price"]].dropna(subset=["price"]))
+        prices = pd.concat(parts).sort_values("pos")["price"].astype("float64")
+        n, first, last, alerts, bar = state.get if state.exists else (0, None, None, 0, None)
+        if len(prices):
+            first, last = float(prices.iloc[0]) if first is None else first, float(prices.iloc[-1])
         lows = prices[prices < prices.cummin().shift(fill_value=float("inf"))]
         for price in lows:
             if not alerts or price <= bar - drop:
                 alerts, bar = alerts + 1, float(price)
-        new = (int(n + len(prices)), float(first), float(prices.iloc[-1]), int(alerts), float(bar))
+        new = (int(n + rows), first, last, int(alerts), bar)
         state.update(new)
         yield pd.DataFrame([(key[0], *new)], columns=[
             "state_key", "n_seen", "first_price", "last_price", "n_alerts", "alert_price"])

@@ -1,9 +1,11 @@
 """Streaming intake: landed listing files update state and raise alerts.
 
 Every micro-batch runs the batch operators.  The state after batch *n* is
-snapshot *n + 1*, computed from snapshot *n* or older, and the alerts of batch
-*n* have their own folder; a batch that is run again after a failure therefore
-replaces its results instead of adding to them.
+snapshot *origin + n + 1*, computed from snapshot *origin + n* or older, and the
+alerts of batch *n* have their own folder; a batch that is run again after a
+failure therefore replaces its results instead of adding to them.  The origin is
+the newest snapshot when the checkpoint was new; it is kept beside the
+checkpoint, so a fresh checkpoint goes on from an existing state.
 """
 
 from __future__ import annotations
@@ -30,18 +32,31 @@ class ListingIntake:
     as_of: Column = field(default_factory=F.current_date)
     candidates: Callable[[DataFrame], DataFrame] = lambda df: df
     params: StateParams = field(default_factory=StateParams)
+    origin: int = 0
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         store = StateStore(self.spark, self.state_root)
-        before = store.load(at_most=batch_id)
+        number = self.origin + batch_id
+        before = store.load(at_most=number)
         rows, after = ops.update_state(batch, before, self.as_of, self.params)
         rows, after = materialize(rows, "intake-rows"), materialize(after, "intake-state")
         decided = ops.alert_decisions(self.candidates(rows), after, self.params)
         sent = materialize(decided.filter("alert"), "intake-alerts")
-        sent.write.mode("overwrite").parquet(f"{self.alert_root.rstrip('/')}/batch={batch_id}")
-        store.write(ops.mark_alerted(after, sent), version=batch_id + 1)
+        sent.write.mode("overwrite").parquet(f"{self.alert_root.rstrip('/')}/batch={number}")
+        store.write(ops.mark_alerted(after, sent), version=number + 1)
+
+    def _origin_of(self, checkpoint: str) -> int:
+        mark = f"{checkpoint.rstrip('/')}-origin"
+        jvm = self.spark.sparkContext._jvm
+        done = jvm.org.apache.hadoop.fs.Path(mark, "_SUCCESS")
+        if not done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            versions = StateStore(self.spark, self.state_root).versions()
+            newest = versions[-1] if versions else 0
+            self.spark.range(1).select(F.lit(newest).cast("bigint").alias("origin")).write.mode("overwrite").parquet(mark)
+        return self.spark.read.parquet(mark).first()["origin"]
 
     def start(self, landing: str, schema: StructType, checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
+        self.origin = self._origin_of(checkpoint)
         stream = (
             self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
         )
