@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pricelode.llm import (
-    bayes_jaccard, chat_parts, exact_shuffle, piece_codec, robust_outliers, secret_dfa, site_lines, spaced_seeds, wavelet_store,
+    bayes_jaccard, bwt_repeats, chat_parts, exact_shuffle, piece_codec, robust_outliers, secret_dfa, site_lines, spaced_seeds, wavelet_store,
 )
 from pricelode.llm.common import table
 
@@ -15,6 +15,7 @@ def _documents(query):
 QUERIES = {
     "op1_piece_codec": _documents(piece_codec.codec_query),
     "op2_robust_outliers": _documents(robust_outliers.quality_query),
+    "op3_bwt_repeats": _documents(bwt_repeats.repeats_query),
     "op4_bayes_jaccard": _documents(bayes_jaccard.join_query),
     "op5_wavelet_store": _documents(wavelet_store.store_query),
     "op6_exact_shuffle": _documents(exact_shuffle.shards_query),
