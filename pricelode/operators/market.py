@@ -193,14 +193,15 @@ def _nearest_by_point(targets: DataFrame, basis: DataFrame, params: MarketParams
     )
     by_mileage = Window.partitionBy("category", "cell").orderBy("mileage")
     evidence = F.col("own").isNotNull()
-    rank = F.sum(evidence.cast("bigint")).over(by_mileage.rowsBetween(Window.unboundedPreceding, 0))
-    # Points without evidence sit half a step above the last point that has some.
+    rank = F.sum(F.when(evidence, F.size("own")).otherwise(0)).over(by_mileage.rowsBetween(Window.unboundedPreceding, 0))
+    # Places count rows.  Points without evidence sit half a row above the last point that has some.  A point has up to
+    # ``keep`` rows, so the nearest ``keep`` rows of a side end within 2 * ``keep`` rows: a frame never holds more.
     spread = spread.withColumn("pos", rank * 2 + F.when(evidence, 0).otherwise(1))
     by_pos = Window.partitionBy("category", "cell").orderBy("pos")
     spread = spread.select(
         "*",
-        F.collect_list("own").over(by_pos.rangeBetween(-2 * keep, -1)).alias("below"),
-        F.collect_list("own").over(by_pos.rangeBetween(1, 2 * keep)).alias("above"),
+        F.collect_list("own").over(by_pos.rangeBetween(-4 * keep, -1)).alias("below"),
+        F.collect_list("own").over(by_pos.rangeBetween(1, 4 * keep)).alias("above"),
     ).filter((F.col("cell") == F.col("home")) & F.col("wanted"))
 
     below = F.slice(F.flatten(F.reverse("below")), 1, keep)

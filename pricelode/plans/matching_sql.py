@@ -38,7 +38,93 @@ decided AS (SELECT *, CASE WHEN reg OR vin OR ident THEN 100 ELSE points END AS
     CASE WHEN reg THEN 'regnr' WHEN vin THEN 'vin' WHEN ident THEN 'identisk_annons' ELSE 'fingerprint' END AS reason,
     coalesce(reg, FALSE) OR coalesce(vin, FALSE) OR ident OR points >= 82 AS matches FROM points)"""
 
+# The sequential grouping, one row a step in every component at once.  ``heads`` holds each group's opener, representative and
+# its completeness; a row joins the first group whose representative it matches.
+_GROUPED = f"""{_BLOCKS}, keyed AS (SELECT *, {_COMPLETE} AS complete FROM listings),
+ids AS (SELECT *, row_number() OVER (ORDER BY seq) AS pid FROM prof),
+same AS (SELECT a.seq AS x, b.seq AS y FROM prof a JOIN prof b ON a.seq < b.seq AND a.model = b.model
+  AND a.variant = b.variant AND a.model_year = b.model_year AND {_IDENTICAL}),
+linked AS (
+  SELECT x, y FROM same
+  UNION SELECT a.seq, b.seq FROM prof a JOIN prof b ON a.reg_no = b.reg_no AND a.seq < b.seq
+  UNION SELECT a.seq, b.seq FROM prof a JOIN prof b ON a.vin = b.vin AND a.seq < b.seq
+  UNION SELECT row(a_k1, a_k2, a_k3, a_k4, a_k5), row(b_k1, b_k2, b_k3, b_k4, b_k5) FROM decided WHERE matches),
+both_ways AS (
+  SELECT a.pid AS x, b.pid AS y FROM linked l JOIN ids a ON a.seq = l.x JOIN ids b ON b.seq = l.y
+  UNION SELECT b.pid, a.pid FROM linked l JOIN ids a ON a.seq = l.x JOIN ids b ON b.seq = l.y
+  UNION SELECT pid, pid FROM ids WHERE n > 1),
+adjacent AS (SELECT x AS pid, list_distinct(list(y) || [x]) AS near FROM both_ways GROUP BY x),
+reach AS (SELECT DISTINCT x AS start, x AS node FROM both_ways UNION SELECT r.start, e.y FROM reach r JOIN both_ways e ON e.x = r.node),
+comps AS (SELECT start AS pid, min(node) AS comp FROM reach GROUP BY start),
+seen AS (
+  SELECT c.comp, i.pid, l.seq, l.listing_id, l.complete, a.near, row_number() OVER (PARTITION BY c.comp ORDER BY l.seq) AS rn
+  FROM keyed l JOIN ids i ON {" AND ".join(f"l.{c} IS NOT DISTINCT FROM i.{c}" for c in _ATTRS.split(", "))}
+  JOIN comps c ON c.pid = i.pid JOIN adjacent a ON a.pid = i.pid),
+fold AS (
+  SELECT comp, rn, seq, listing_id, seq AS opened, [{{'opened': seq, 'rep': pid, 'complete': complete}}] AS heads FROM seen WHERE rn = 1
+  UNION ALL
+  SELECT s.comp, s.rn, s.seq, s.listing_id, coalesce(f.heads[spot].opened, s.seq),
+    CASE WHEN spot IS NULL THEN list_append(f.heads, {{'opened': s.seq, 'rep': s.pid, 'complete': s.complete}})
+      WHEN s.complete > f.heads[spot].complete THEN list_transform(f.heads, lambda h: CASE WHEN h.opened = f.heads[spot].opened
+        THEN {{'opened': h.opened, 'rep': s.pid, 'complete': s.complete}} ELSE h END)
+      ELSE f.heads END
+  FROM (SELECT f.*, s.seq AS new_seq, list_position(list_transform(f.heads, lambda h: list_contains(s.near, h.rep)), TRUE) AS spot
+        FROM fold f JOIN seen s ON s.comp = f.comp AND s.rn = f.rn + 1) f JOIN seen s ON s.comp = f.comp AND s.rn = f.rn + 1),
+grouped AS (SELECT k.listing_id, k.seq, k.complete, coalesce(f.opened, k.seq) AS opened FROM keyed k LEFT JOIN fold f ON f.seq = k.seq)"""
+
+# Every row with its group, the group's final representative and the row's own match against it.
+_MEMBERS = f"""{_GROUPED},
+placed AS (SELECT k.*, coalesce(f.opened, k.seq) AS opened, i.pid,
+    'https://' || k.source || '.example/ad/' || k.listing_id AS own_url
+  FROM keyed k LEFT JOIN fold f ON f.seq = k.seq JOIN ids i ON {" AND ".join(f"k.{c} IS NOT DISTINCT FROM i.{c}" for c in _ATTRS.split(", "))}),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY opened) AS group_size,
+    row_number() OVER (PARTITION BY opened ORDER BY complete DESC, seq) = 1 AS is_rep FROM placed),
+reps AS (SELECT opened, pid AS rep_pid, listing_id AS rep_id, seq AS rep_seq FROM ranked WHERE is_rep),
+scores AS (SELECT a.pid AS x, b.pid AS y, d.score, d.match_type, d.reason FROM decided d
+    JOIN ids a ON a.seq = row(a_k1, a_k2, a_k3, a_k4, a_k5) JOIN ids b ON b.seq = row(b_k1, b_k2, b_k3, b_k4, b_k5)),
+known AS (SELECT x, y, score, match_type, reason FROM scores UNION SELECT y, x, score, match_type, reason FROM scores),
+judged AS (SELECT r.*, p.rep_id, p.rep_pid, b.model AS rep_model, b.model_year AS rep_year,
+    coalesce(a.reg_no = b.reg_no, FALSE) AS by_reg, coalesce(a.vin = b.vin, FALSE) AS by_vin, r.pid = p.rep_pid OR {_IDENTICAL} AS by_values,
+    k.score AS points
+  FROM ranked r JOIN reps p USING (opened) JOIN ids a ON a.pid = r.pid JOIN ids b ON b.pid = p.rep_pid
+    LEFT JOIN known k ON k.x = r.pid AND k.y = p.rep_pid),
+members AS (SELECT *, NOT is_rep AS has_match,
+    CASE WHEN is_rep THEN NULL WHEN by_reg OR by_vin OR by_values THEN 100 ELSE coalesce(points, 0) END AS score,
+    CASE WHEN is_rep THEN NULL WHEN by_reg THEN 'regnr' WHEN by_vin THEN 'vin' ELSE 'fingerprint' END AS match_type,
+    CASE WHEN is_rep THEN NULL WHEN by_reg THEN 'regnr' WHEN by_vin THEN 'vin' WHEN by_values THEN 'identisk_annons'
+      WHEN points IS NULL AND model <> rep_model THEN 'olika_modell' WHEN points IS NULL AND model_year <> rep_year THEN 'olika_arsmodell' ELSE 'fingerprint' END AS reason
+  FROM judged),
+merged AS (SELECT opened, any_value(rep_id) AS listing_id, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources,
+    array_to_string(list_sort(list_distinct(list(source))), ' + ') AS overlap, string_agg(own_url, ' ' ORDER BY seq) AS urls,
+    count(*) AS n_duplicates, CAST(count(DISTINCT source) AS INTEGER) AS n_duplicate_sources, string_agg(listing_id, ',' ORDER BY seq) AS duplicate_ids,
+    arg_min({{'score': score, 'match_type': match_type, 'reason': reason}}, row(-score, seq)) FILTER (score > 0) AS best
+  FROM members GROUP BY opened)"""
+
 ORACLES = {
+    "merged_listings": f"""WITH RECURSIVE {_MEMBERS} SELECT listing_id, sources, urls, n_duplicates, n_duplicate_sources,
+        CASE WHEN n_duplicates = 1 THEN 100 ELSE coalesce(best.score, 0) END AS fingerprint_score,
+        CASE WHEN n_duplicates = 1 THEN 'unik' ELSE coalesce(best.match_type, 'fingerprint') END AS match_type,
+        CASE WHEN n_duplicates = 1 THEN 'ingen_dubblett' ELSE coalesce(best.reason, 'fingerprint') END AS match_reason, duplicate_ids FROM merged""",
+    "match_details": f"""WITH RECURSIVE {_MEMBERS} SELECT rep_id AS listing_id, source, listing_id AS duplicate_id, score, match_type, reason
+        FROM members WHERE has_match""",
+    "duplicate_summary": f"""WITH RECURSIVE {_MEMBERS}, t AS (SELECT count(*) AS before, count(*) FILTER (is_rep) AS after,
+          count(*) FILTER (match_type = 'regnr') AS by_regnr, count(*) FILTER (match_type = 'vin') AS by_vin,
+          count(*) FILTER (match_type = 'fingerprint') AS by_fingerprint,
+          count(*) FILTER (match_type = 'fingerprint' AND score BETWEEN 95 AND 100) AS score_95_100,
+          count(*) FILTER (match_type = 'fingerprint' AND score BETWEEN 90 AND 94) AS score_90_94,
+          count(*) FILTER (match_type = 'fingerprint' AND score BETWEEN 85 AND 89) AS score_85_89,
+          count(*) FILTER (match_type = 'fingerprint' AND score BETWEEN 82 AND 84) AS score_82_84 FROM members)
+        SELECT *, before - after AS duplicates, round_even((before - after) / before * 100, 1) AS duplicate_percent FROM t""",
+    "source_overlap": f"""WITH RECURSIVE {_MEMBERS} SELECT overlap, count(*) AS n FROM merged WHERE n_duplicate_sources >= 2 GROUP BY overlap""",
+    "review_queue": f"""WITH RECURSIVE {_MEMBERS}, about AS (SELECT *, concat_ws(' | ', source, model, variant, model_year, mileage || ' mil',
+          CAST(price AS BIGINT) || ' kr') AS text FROM members)
+        SELECT b.listing_id AS rep_listing_id, a.listing_id, a.score, 'score=' || a.score || ' | ' || b.text || ' <-> ' || a.text AS line
+        FROM about a JOIN about b ON a.opened = b.opened AND b.is_rep
+        WHERE a.match_type = 'fingerprint' AND a.score < 90 AND a.reason <> 'identisk_annons'""",
+    "duplicate_groups": f"""WITH RECURSIVE {_GROUPED}
+        SELECT listing_id, concat_ws('-', opened[1], opened[2], opened[3], opened[4], opened[5]) AS group_id,
+          count(*) OVER (PARTITION BY opened) AS group_size,
+          row_number() OVER (PARTITION BY opened ORDER BY complete DESC, seq) = 1 AS is_rep FROM grouped""",
     "completeness": f"{_LIST} SELECT listing_id, {_COMPLETE} AS completeness FROM listings",
     "profile_copies": f"WITH {_PROF} SELECT n, count(*) AS n_profiles FROM prof GROUP BY n",
     "regno_links": f"WITH {_PROF} " + _LINKS.format(keys=_KEYS, col="reg_no"),
