@@ -160,3 +160,24 @@ def test_decision_edges(spark):
     for r in with_decision(pairs, params).select("mileage", "price", "d.score", "d.matches").collect():
         want = decide(full(base), full(dict(base, mileage=r.mileage, price=r.price)))[0]
         assert (r.score, r.matches) == (want, want >= 82)
+
+
+def test_hot_key_folds_in_linear_time():
+    """50 000 profiles of one registration number are one group, led by the most complete."""
+    import time
+
+    import pandas as pd
+
+    n = 50_000
+    rng = random.Random(7)
+    nodes = pd.DataFrame({
+        "pid": [f"p{i}" for i in range(n)], "positions": [[[i]] for i in range(n)], "n": rng.choices([1, 5], k=n),
+        "completeness": rng.choices(range(15), k=n), "keys": [["r:ABC123"]] * n, "has_model": True,
+        "probes": [[{"at": [j], "next": None} for j in range(60)] for _ in range(n)],
+    })
+    edges = pd.DataFrame(columns=["a", "b", "forward", "backward"])
+    start = time.perf_counter()
+    out = cluster._fold(nodes, edges)
+    assert time.perf_counter() - start < 60
+    stuck = [row for row in out if row[4]]
+    assert len(stuck) <= 1 and {tuple(row[3]) for row in out if not row[4]} == {(0,)}
