@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelode.config import (
-    CARD_TRIM_LENGTH, REG_FAR, REG_KEY_WORDS, REG_KEYS, REG_LABEL, REG_NEAR, REJECTED_SAMPLE, WatchRule,
+    CARD_TRIM_LENGTH, REG_FAR, REG_KEY_WORDS, REG_KEYS, REG_LABEL, REG_NEAR, REJECTED_SAMPLE,
+    RequirementParams, WatchRule,
 )
 from pricelode.functions.text import (
     blank_to_null,
@@ -23,7 +24,7 @@ from pricelode.functions.text import (
     quote_pattern,
     strip,
 )
-from pricelode.operators.clean import variant_of
+from pricelode.operators.clean import fill_from_text, meets_requirements, variant_of
 
 OBJECT_LINK = r"/objekt/[0-9a-fA-F-]+"
 
@@ -221,7 +222,7 @@ def detail_facts(pages: DataFrame, body_word: str = "touring") -> DataFrame:
     )
 
 
-def detail_join(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+def detail_join(candidates: DataFrame, pages: DataFrame, body_word: str = "touring") -> DataFrame:
     """Candidates with the facts of their page; each distinct url is read once.
 
     Copies of a page are dropped before the patterns run; candidates whose
@@ -230,7 +231,7 @@ def detail_join(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     wanted = pages.select("url", "page_id").join(candidates.select("url").distinct(), "url", "left_semi")
     first = wanted.groupBy("url").agg(F.min("page_id").alias("page_id"))
     once = pages.join(first, ["url", "page_id"]).select("url", "html").dropDuplicates(["url"])
-    facts = detail_facts(once)
+    facts = detail_facts(once, body_word)
     return candidates.join(facts, "url")
 
 
@@ -239,6 +240,27 @@ def body_matches(body: Column, mentions: Column, rule: WatchRule) -> Column:
     return F.lit(True) if not rule.body else (body.eqNullSafe(rule.body) | mentions)
 
 
+def slug_listings(found: DataFrame, pages: DataFrame, rule: WatchRule, source: str) -> DataFrame:
+    """Slug candidates with the facts of their detail pages, as listings.
+
+    Candidates that need a look at the body must show the rule's body word.
+    """
+    known = found.filter("variant is not null")
+    facts = detail_join(known, pages, rule.body or "touring")
+    fits = ~F.col("needs_body_check") | body_matches(F.col("body"), F.col("mentions_body"), rule)
+    return facts.filter(fits).select(
+        "page_id", "pos", F.lit(source).alias("source"), "listing_id", "url", "reg_no", F.lit(rule.make).alias("make"),
+        F.lit(rule.model_slug).alias("model_slug"), F.lit(rule.model_slug).alias("model"), "variant", "model_year", "mileage",
+        F.col("price").cast("double").alias("price"), F.lit("Automat").alias("gearbox"), F.lit(False).alias("damaged"),
+        F.col("slug_text").alias("trim"), "owners", "auction", "body",
+    )
+
+
+def complete(rows: DataFrame, params: RequirementParams, text: str = "trim") -> DataFrame:
+    """Listings of a source with their flags from ``text``, as far as they meet the base requirements."""
+    return meets_requirements(fill_from_text(rows, F.col(text)), params)
+
+
 def coverage(facts: DataFrame, column: str = "reg_no") -> DataFrame:
     """Share of rows with a value in ``column``, 0 for an empty table."""
     share = F.count_if(F.col(column).isNotNull()) / F.nullif(F.count("*"), F.lit(0)) * 100

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,10 @@ TEXT_RULE = WatchRule(
 )
 V60 = WATCH_LIST[0]
 BMW = WATCH_LIST[2]
+# The watched models with years of the sales lines.
+OLD_CARS = RequirementParams(
+    watch_list=tuple(replace(r, year_min=1996, year_max=2000) for r in (V60, BMW)), year_min=1996, year_max=2000, mileage_max=9600
+)
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:
@@ -84,7 +90,7 @@ def search_pages(spark: SparkSession, root: str) -> DataFrame:
     ).alias("html"))
 
 
-def detail_pages(spark: SparkSession, root: str) -> DataFrame:
+def detail_pages(spark: SparkSession, root: str, url=None) -> DataFrame:
     """A detail page per line, in several layouts, some without a price."""
     df = _lines(spark, root)
     kind = F.col("l_linenumber") % 4
@@ -125,22 +131,25 @@ def detail_pages(spark: SparkSession, root: str) -> DataFrame:
     )
     return df.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "id").alias("page_id"),
-        F.concat(F.lit("https://x.example/"), F.col("id")).alias("url"), html.alias("html"),
+        (F.concat(F.lit("https://x.example/"), F.col("id")) if url is None else url).alias("url"), html.alias("html"),
     )
 
 
-def slug_pages(spark: SparkSession, root: str) -> DataFrame:
-    """A result page per order with one slug link per line, repeats included."""
-    df = _lines(spark, root)
+def _slug_href(site: str = ""):
     words = F.element_at(
         F.array(*[F.lit(w) for w in ("530-e-xdrive-touring", "530e-xdrive", "530-e-x-drive-m-sport", "530e-touring", "520d")]),
         (F.col("l_linenumber") % 5 + 1).cast("int"),
     )
-    href = F.concat(
-        F.when(F.col("l_suppkey") % 2 == 0, "").otherwise("https://y.example"),
+    return F.concat(
+        F.when(F.col("l_suppkey") % 2 == 0, site).otherwise("https://y.example"),
         F.lit("/bil/BMW-"), words, F.lit("-"), F.col("year"), F.lit("-kombi-"), F.col("l_partkey"),
     )
-    a = F.concat(F.lit('<a class="x" href="'), href, F.lit('">bil</a> <a href="/om-oss">om</a>'))
+
+
+def slug_pages(spark: SparkSession, root: str) -> DataFrame:
+    """A result page per order with one slug link per line, repeats included."""
+    df = _lines(spark, root)
+    a = F.concat(F.lit('<a class="x" href="'), _slug_href(), F.lit('">bil</a> <a href="/om-oss">om</a>'))
     return df.select(F.col("l_orderkey").alias("page_id"), F.struct("l_linenumber", "id").alias("o"), a.alias("a")).groupBy(
         "page_id"
     ).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "a"))), lambda x: x.a), "\n").alias("html"))
@@ -228,6 +237,24 @@ def _slugs(spark, root):
     )
 
 
+def _slug_listings(spark, root):
+    """Result pages to finished listings, over the detail pages of their links."""
+    base = "https://b.example"
+    sheets = detail_pages(spark, root, _slug_href(base))
+    rows = extract.slug_listings(extract.slugs(slug_pages(spark, root), BMW, base), sheets, BMW, "b")
+    return extract.complete(rows, OLD_CARS).select(
+        "page_id", "listing_id", "url", "variant", "model_year", "mileage", "price", "owners", "auction", "body", "tow_hook", "trim"
+    )
+
+
+def _card_source(spark, root):
+    """Search pages to finished listings."""
+    found = extract.cards(search_pages(spark, root), V60, "https://w.example")
+    return extract.complete(extract.card_listings(found, V60, "w"), OLD_CARS, "full_title").select(
+        "page_id", "url", "variant", "model_year", "mileage", "price", "tow_hook", "heater", "certified", "rental"
+    )
+
+
 def _rejected(spark, root):
     parsed = extract.slugs(slug_pages(spark, root), BMW, "https://b.example")
     return extract.rejected_slugs(parsed).select(
@@ -385,6 +412,8 @@ QUERIES = {
     "link_statistics": _unparsed,
     "unparsed_links": _unparsed_list,
     "slug_parse": _slugs,
+    "slug_listings": _slug_listings,
+    "card_source": _card_source,
     "rejected_slugs": _rejected,
     "detail_facts": _facts,
     "detail_join": _detail_join,

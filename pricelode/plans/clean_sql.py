@@ -57,6 +57,19 @@ ORACLES = {
           || '/bil/BMW-' || raw || '-' || year || '-kombi-' || l_partkey AS url, CAST(l_partkey AS VARCHAR) AS listing_id, slug_text,
         CAST(year AS INTEGER) AS model_year, '530e xDrive Touring' AS variant, l_linenumber % 5 IN (1, 2) AS needs_body_check
         FROM slugs WHERE slug_text <> '520d'""",
+    "slug_listings": f"""{_SLUGS}, named AS (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 'https://b.example' ELSE 'https://y.example' END
+          || '/bil/BMW-' || raw || '-' || year || '-kombi-' || l_partkey AS url FROM s),
+        sheet AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY url ORDER BY {_PAGE_ID}) = 1),
+        hits AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY pos) = 1)
+        SELECT h.l_orderkey AS page_id, CAST(h.l_partkey AS VARCHAR) AS listing_id, h.url, '530e xDrive Touring' AS variant,
+          CAST(h.year AS INTEGER) AS model_year, CAST(sheet.km AS BIGINT) AS mileage, CAST(sheet.kr AS DOUBLE) AS price,
+          CAST(CASE WHEN sheet.l_partkey % 3 > 0 THEN sheet.l_partkey % 3 END AS INTEGER) AS owners, sheet.l_suppkey % 5 = 0 AS auction,
+          {_BODY.replace("l_suppkey", "sheet.l_suppkey")} AS body, FALSE AS tow_hook, h.slug_text AS trim
+        FROM hits h JOIN sheet USING (url) WHERE h.slug_text <> '520d' AND sheet.l_linenumber % 4 < 3
+          AND (h.l_linenumber % 5 NOT IN (1, 2) OR sheet.l_suppkey % 6 = 0) AND h.year BETWEEN 1996 AND 2000 AND sheet.km <= 9600""",
+    "card_source": f"""{_CARDS} SELECT l_orderkey AS page_id, url, model AS variant, CAST(year AS INTEGER) AS model_year, CAST(km AS BIGINT) AS mileage,
+        CAST(kr AS DOUBLE) AS price, FALSE AS tow_hook, FALSE AS heater, FALSE AS certified, FALSE AS rental
+        FROM cards WHERE l_suppkey % 11 <> 0 AND model <> 'B4' AND year BETWEEN 1996 AND 2000 AND km <= 9600 AND l_suppkey % 3 <> 0""",
     "rejected_slugs": f"""{_SLUGS} SELECT l_orderkey AS page_id, count(*) AS n_ids, count(*) FILTER (slug_text <> '520d') AS n_kept,
         repeat('520d|', CAST(least(5, count(*) FILTER (slug_text = '520d')) - 1 AS INTEGER)) || CASE WHEN count(*) FILTER (slug_text = '520d') > 0 THEN '520d' ELSE '' END AS sample
         FROM slugs GROUP BY 1""",
