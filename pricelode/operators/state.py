@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelode.config import StateParams
@@ -153,6 +153,12 @@ def alert_decisions(candidates: DataFrame, state: DataFrame, params: StateParams
     memory = state.select("record_key", "notified", "notified_price").groupBy("record_key").agg(
         F.max("notified").alias("notified"), F.max("notified_price").alias("notified_price")
     )
+    # Of a record's offers only the first and new lows can be sent.
+    earlier = Window.partitionBy("record_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    lowest, rank = F.min("price").over(earlier), F.count(F.lit(1)).over(earlier)
+    offers = offers.withColumns({"lowest": lowest, "rank": rank}).filter(
+        (F.col("rank") == 0) | F.col("lowest").isNull() | (F.col("price") < F.col("lowest"))
+    )
     per_record = (
         offers.groupBy("record_key")
         .agg(F.sort_array(F.collect_list(F.struct("seq", "price"))).alias("offers"))

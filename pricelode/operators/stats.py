@@ -5,28 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Buckets per doubling of a value.
+_BUCKETS = 64
+
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str, count: str) -> DataFrame:
     """Median and number of non-null values per key.
 
     Rows are first counted per (keys, value): that step combines map-side and
-    spreads a hot key over its values.  Only distinct values reach the ordered
-    window, which can spill.
+    spreads a hot key over its values.  Values fall into buckets of nearly equal
+    ratio; counts per bucket tell which one or two buckets hold the middle ranks,
+    and only their values are sorted.
     """
+    number = F.col("_v").cast("double")
+    bucket = F.signum(number) * F.floor(_BUCKETS * F.log2(1 + F.abs(number)))
+    bucket = F.greatest(F.least(bucket, F.lit(1e6)), F.lit(-1e6)).cast("bigint")  # infinite values and NaN at the ends
     hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
         F.count("*").alias("_c")
-    )
-    ordered = Window.partitionBy(*keys).orderBy("_v")
-    hist = hist.withColumn("_upto", F.sum("_c").over(ordered)).withColumn(
-        "_n", F.sum("_c").over(Window.partitionBy(*keys))
-    )
+    ).withColumn("_b", bucket)
+    by_bucket = Window.partitionBy(*keys).orderBy("_b")
+    cells = hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_m")).withColumns({
+        "_before": F.sum("_m").over(by_bucket) - F.col("_m"), "_n": F.sum("_m").over(Window.partitionBy(*keys)),
+    })
     low = F.floor((F.col("_n") - 1) / 2)
     high = F.floor(F.col("_n") / 2)
+    cells = cells.filter((F.col("_before") <= high) & (F.col("_before") + F.col("_m") > low)).drop("_m")
+    same = [F.col(f"h.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "_b")]
+    near = hist.alias("h").join(cells.alias("c"), same).select(*[F.col(f"h.{k}") for k in keys], "h._v", "h._c", "h._b", "c._before", "c._n")
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v")) + F.col("_before")
+    near = near.withColumn("_upto", upto)
 
     def covers(rank):
         return (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
 
-    return hist.groupBy(*keys).agg(
+    return near.groupBy(*keys).agg(
         (
             (F.max(F.when(covers(low), F.col("_v"))) + F.max(F.when(covers(high), F.col("_v")))) / 2
         ).alias(out),
