@@ -48,9 +48,23 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is ever overwritten."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the tables that this process has written to the shared folder; call it when their results are used up."""
+    hadoop, dropped = spark.sparkContext._jvm.org.apache.hadoop.fs, 0
+    while _made:
+        path = hadoop.Path(_made.pop())
+        dropped += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return dropped
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

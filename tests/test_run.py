@@ -25,3 +25,15 @@ def test_two_runs(spark):
     assert (b.total, b.score_ok, b.already_alerted, b.sent) == (a.total, a.score_ok, a.sent, 0)
     assert second.listings.filter("hist_n_observations = 0").isEmpty()
     assert store.versions() == [1, 2]
+
+
+def test_scratch_tables_can_be_dropped(spark, monkeypatch):
+    from pricelode import session
+
+    monkeypatch.setattr(session, "_made", [])
+    table = session.materialize(spark.range(3).toDF("id"), "dropped")
+    assert table.count() == 3
+    path = session._made[0]
+    assert session.drop_scratch(spark) == 1 and session.drop_scratch(spark) == 0
+    assert not spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(
+        spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))

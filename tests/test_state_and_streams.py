@@ -90,3 +90,17 @@ def test_price_with_no_break_space(spark):
     html = "<p>Pris</p><p>349 900 kr</p><dl><dt>Mil</dt><dd>4 200</dd></dl>"
     row = extract.detail_facts(spark.createDataFrame([(1, html)], "page_id int, html string")).first()
     assert (row.price, row.mileage) == (349900, 4200)
+
+
+def test_fresh_checkpoint_goes_on_from_the_state(spark):
+    landing = scratch_path(spark, "land")
+    batch = run_of(spark, [300000.0, 284000.0])
+    batch.coalesce(1).write.parquet(landing)
+    intake = ListingIntake(spark, scratch_path(spark, "s"), scratch_path(spark, "a"), day("2026-01-01"))
+    intake.start(landing, batch.schema, scratch_path(spark, "c")).awaitTermination()
+    sent = intake.alerts().count()
+    again = ListingIntake(spark, intake.state_root, intake.alert_root, day("2026-01-02"))
+    again.start(landing, batch.schema, scratch_path(spark, "c")).awaitTermination()
+    assert again.origin >= 1 and again.alerts().count() == sent
+    saved = StateStore(spark, intake.state_root).load().first()
+    assert (saved.first_seen.isoformat(), saved.notified_price) == ("2026-01-01", 284000.0)
