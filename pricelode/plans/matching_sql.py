@@ -101,6 +101,18 @@ merged AS (SELECT opened, any_value(rep_id) AS listing_id, array_to_string(list_
   FROM members GROUP BY opened)"""
 
 ORACLES = {
+    # Longest common piece first (earliest on ties), then the same to its left and right.
+    "text_similarity": """WITH RECURSIVE names AS (SELECT DISTINCT p_name FROM part),
+        words AS (SELECT p_name, unnest(string_split(p_name, ' ')) AS w FROM names),
+        pairs AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM words x JOIN words y ON x.w = y.w AND x.p_name < y.p_name),
+        parts AS (SELECT a, b, a AS x, b AS y, 0 AS same FROM pairs
+          UNION ALL
+          SELECT a, b, CASE side WHEN 0 THEN x[:c.i - 1] ELSE x[c.i + c.k:] END, CASE side WHEN 0 THEN y[:c.j - 1] ELSE y[c.j + c.k:] END,
+            CASE side WHEN 0 THEN c.k ELSE 0 END
+          FROM (SELECT a, b, x, y, list_sort(list_filter(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, length(x) - i + 2),
+              lambda k: {'rank': -k, 'i': i, 'k': k, 'j': strpos(y, substr(x, i, k))}))), lambda c: c.j > 0))[1] AS c FROM parts WHERE x <> '' AND y <> '') t, (VALUES (0), (1)) s(side)
+          WHERE c IS NOT NULL)
+        SELECT a, b, round(2.0 * sum(same) / (length(a) + length(b)), 6) AS similarity FROM parts GROUP BY a, b""",
     "merged_listings": f"""WITH RECURSIVE {_MEMBERS} SELECT listing_id, sources, urls, n_duplicates, n_duplicate_sources,
         CASE WHEN n_duplicates = 1 THEN 100 ELSE coalesce(best.score, 0) END AS fingerprint_score,
         CASE WHEN n_duplicates = 1 THEN 'unik' ELSE coalesce(best.match_type, 'fingerprint') END AS match_type,
