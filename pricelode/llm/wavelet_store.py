@@ -14,6 +14,7 @@ are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelode.llm.common import materialize, slices, texts
+from pricelode.llm.latin_words import STRANGE, HashedWords
 from pricelode.llm.word_codes import WordCodes
 
 MAGIC = b"WMX1"
 SHARD_TOKENS = 2_000_000
+SLICE = 2 << 20
 END = 0
 SAMPLE = 512  # bits between rank samples
 
@@ -43,7 +46,7 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         zeros, planes = [], []
         for b in range(bits - 1, -1, -1):
-            one = (now >> b & 1).astype(bool)
+            one = (now & now.dtype.type(1 << b)) != 0
             planes.append(np.packbits(one, bitorder="little"))
             low = now[~one]
             zeros.append(len(low))
@@ -171,9 +174,18 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     return docs, sizes, WaveletMatrix.from_bytes(memoryview(data)[12 + 17 * n :])
 
 
+#: A space and letters, which the tokenizer keeps together and cuts off before the next space.
+SPACED_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+KEPT_WORDS = 1_000_000
+
+
 class Encoder:
     """Ids by the tokenizers library.  Its splitter cuts texts into words that are encoded on their own, so each distinct word is
-    encoded once; a text with a special token's string goes to the library whole."""
+    encoded once; a text with a special token's string goes to the library whole.
+
+    Words of a space and letters are given to the library in runs, which it cuts at the spaces again; the ids whose token begins
+    with a space tell where each word starts.
+    """
 
     def __init__(self, path: str):
         import os
@@ -185,29 +197,56 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = WordCodes(self._encode)
+        self.split_any = regex.compile(public_tokenizers.PATTERN).findall
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i] = token.startswith("Ġ")
+        self.latin, self.words = HashedWords(self._encode, KEPT_WORDS), WordCodes(self._encode)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in found], np.int64)
-        return np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes
-
-    def encode(self, data: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.array([SPACED_WORD(w) is not None for w in words], bool)
+        runs = [w for w, p in zip(words, plain) if p]
+        runs = ["".join(runs[i : i + 2000]) for i in range(0, len(runs), 2000)]
+        rest = [w for w, p in zip(words, plain) if not p]
+        found = self.tokenizer.encode_batch_fast(runs + rest, add_special_tokens=False)
+        flat = [np.array(e.ids, np.uint32) for e in found]
+        joined = np.concatenate(flat[: len(runs)]) if runs else np.zeros(0, np.uint32)
+        starts = np.flatnonzero(self.opens[joined])
+        sizes = np.zeros(len(words), np.int64)
+        sizes[plain] = np.diff(np.append(starts, len(joined)))
+        sizes[~plain] = [len(x) for x in flat[len(runs) :]]
+        first = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        for chosen, ids in ((plain, joined), (~plain, np.concatenate([np.zeros(0, np.uint32), *flat[len(runs) :]]))):
+            own = sizes[chosen]
+            out[np.repeat(first[chosen] - (np.cumsum(own) - own), own) + np.arange(len(ids))] = ids
+        return out, sizes
+
+    def encode(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end token behind every text, and the number of ids of each."""
-        plain = [not any(s in t for s in self.special) for t in data]
-        ids, sizes = self.words.codes([self.split(t) if p else [] for t, p in zip(data, plain)])
-        if all(plain):
+        special = [any(x in t for x in self.special) for t in data]
+        latin = [not p and not STRANGE(t) for t, p in zip(data, special)]
+        found = self.latin.codes([t for t, a in zip(data, latin) if a]) if any(latin) else None
+        if found is None:  # no such text, or words that array hashes cannot tell apart
+            latin = [False] * len(data)
+        general = [not p and not a for p, a in zip(special, latin)]
+        parts = [iter(_split(*found)) if found else iter(())]
+        parts.append(iter(_split(*self.words.codes([self.split_any(t.decode("utf-8", "replace")) for t, g in zip(data, general) if g]))) if any(general) else iter(()))
+        if all(latin):
+            ids, sizes = found
             return np.insert(ids, np.cumsum(sizes), END), sizes + 1
-        out, at = [], 0
-        for t, p, n in zip(data, plain, sizes.tolist()):
-            own = ids[at : at + n] if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-            out.append(np.append(own, np.uint32(END)))
-            at += n
+        out = []
+        for t, a, g in zip(data, latin, general):
+            ids = next(parts[0]) if a else next(parts[1]) if g else self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids
+            out.append(np.append(np.array(ids, np.uint32), np.uint32(END)))
         return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
 
+def _split(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
 def write_store(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Shard files of all documents in ascending id order: (part, seq, n_docs, n_tokens, payload), written to the shared folder."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("tie"))
@@ -229,8 +268,8 @@ def write_store(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
         for batch in batches:
             data = texts(batch.column(1))
             names = batch.column(0).to_pylist()
-            for a, b in slices([len(x) for x in data]):
-                code, size = encoder.encode([x.decode("utf-8", "replace") for x in data[a:b]])
+            for a, b in slices([len(x) for x in data], SLICE):
+                code, size = encoder.encode(data[a:b])
                 ids += names[a:b]
                 sizes.append(size)
                 codes.append(code)

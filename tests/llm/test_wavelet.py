@@ -1,14 +1,17 @@
 """Wavelet matrices against plain arrays, and the store against the tokenizers library."""
 
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pricelode.llm import latin_words as lw
 from pricelode.llm import wavelet_store as ws
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,3 +56,25 @@ def test_store_equals_library(spark):
         crc = lambda t: (len(coded(t)), zlib.crc32(np.array(coded(t), "<u4").tobytes()))
         assert sorted((d if d is not None else -1, n, c) for _, d, n, c in got) == sorted((d if d is not None else -1, *crc(t)) for d, t, _ in rows)
     assert ws.read_store(ws.write_store(df.limit(0), PATH)).count() == 0
+
+
+def test_words_are_cut_like_the_pattern():
+    rnd, pattern = random.Random(1), regex.compile(public_tokenizers.PATTERN)
+    bits = ["a", "é", "the", "'", "'s", "'re", "'ll", "'x", "''s", " ", "  ", "\n", "\t", "\r\n", "1", "23", ".", "!?", "$", "ÿ", " '", "' "]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(9))) for _ in range(5000)]
+    buffer = np.frombuffer(b"\xff".join(t.encode() for t in texts) + b"\xff", np.uint8)
+    starts, ends = lw.cut_words(buffer)
+    edges = np.searchsorted(starts, np.cumsum([0, *(len(t.encode()) + 1 for t in texts)]))
+    for t, a, b in zip(texts, edges[:-1], edges[1:]):
+        assert [bytes(buffer[i:j]).decode() for i, j in zip(starts[a:b], ends[a:b])] == pattern.findall(t), t
+
+
+def test_encoder_equals_library_in_small_tables(monkeypatch):
+    tokenizer, rnd = Tokenizer.from_file(PATH), random.Random(2)
+    monkeypatch.setattr(ws, "KEPT_WORDS", 20)
+    encoder = ws.Encoder(PATH)
+    bits = ["one", "two", " three", " Été", " ", "\n", "'s", "漢", "9", "<|endoftext|>", "–", " zz"]
+    for _ in range(200):
+        data = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(8))) for _ in range(rnd.randrange(1, 6))]
+        ids, sizes = encoder.encode([t.encode() for t in data])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in data]
