@@ -36,7 +36,9 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
-def rowwise(df: DataFrame, column: str, out: T.StructType, work: Callable[[list[bytes]], dict], keep: list[str]) -> DataFrame:
+def rowwise(
+    df: DataFrame, column: str, out: T.StructType, work: Callable[[list[bytes]], dict], keep: list[str], limit: int = SLICE_BYTES
+) -> DataFrame:
     """``keep`` columns of ``df`` plus what ``work`` makes of the texts of ``column``, slice by slice.
 
     ``work`` takes a list of UTF-8 texts and returns one list per field of ``out``.  Rows stay in place: no shuffle.
@@ -51,7 +53,7 @@ def rowwise(df: DataFrame, column: str, out: T.StructType, work: Callable[[list[
     def run(batches):
         for batch in batches:
             data = texts(batch.column(n_keep))
-            for a, b in slices([len(x) for x in data]):
+            for a, b in slices([len(x) for x in data], limit):
                 made = work(data[a:b])
                 kept = [batch.column(i).slice(a, b - a) for i in range(n_keep)]
                 new = [

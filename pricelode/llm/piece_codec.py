@@ -35,6 +35,7 @@ from pricelode.llm.word_hash import BASE, INVERSE, mix, powers
 
 SPACE = "▁"
 UNKNOWN = 1 << 30  # codes from here on are characters without a piece
+SLICE = 1 << 20
 CELLS = 21  # bits of the pair table's size
 UNIGRAM, BPE = 1, 2
 
@@ -245,7 +246,7 @@ def encode(df: DataFrame, keep: list[str], model: PieceModel, text: str = "text"
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))}
 
-    return rowwise(df, text, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))]), work, keep)
+    return rowwise(df, text, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))]), work, keep, SLICE)
 
 
 def decode(df: DataFrame, keep: list[str], model: PieceModel, ids: str = "ids") -> DataFrame:
