@@ -207,7 +207,8 @@ def covered_ranges(rows: DataFrame) -> DataFrame:
     by_text = materialize(rowwise(rows.filter(F.octet_length("text") >= LENGTH), "text", out, work, ["k1", "k2"]), "repeat-anchors")
     anchors = by_text.select("k1", "k2", F.explode(F.arrays_zip(*[k for k, _ in kinds])).alias("a")).select("k1", "k2", "a.*")
     often = anchors.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).filter("n > 1")
-    shared = materialize(anchors.join(often.select("core", (F.col("a") != F.col("b")).alias("differ")), "core"), "repeat-shared")
+    often = materialize(often.select("core", (F.col("a") != F.col("b")).alias("differ")), "repeat-cores")  # so that a hot core can be split in the join
+    shared = materialize(anchors.join(often, "core"), "repeat-shared")
     distinct = shared.groupBy("core", "around", "differ").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place", "near", "far")).alias("rep"))
     distinct = materialize(distinct.select("core", "around", "differ", "n", "rep.*"), "repeat-distinct")
     wanted = distinct.filter("differ").groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "core", "around", "n", "near", "far")).alias("wanted"))
