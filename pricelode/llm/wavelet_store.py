@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -204,6 +206,14 @@ class Encoder:
             self.opens[i] = token.startswith("Ġ")
         self.latin, self.words = HashedWords(self._encode, KEPT_WORDS), WordCodes(self._encode)
 
+    @classmethod
+    def of_process(cls, path: str) -> Encoder:
+        """One encoder per Python worker, so that words met in earlier tasks are known; tasks give equal ids with or without it."""
+        held = sys.modules.setdefault("_pricelode_held", types.ModuleType("_pricelode_held")).__dict__
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = np.array([SPACED_WORD(w) is not None for w in words], bool)
         runs = [w for w, p in zip(words, plain) if p]
@@ -255,7 +265,7 @@ def write_store(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq, encoder = TaskContext.get().partitionId(), 0, Encoder(tokenizer)
+        part, seq, encoder = TaskContext.get().partitionId(), 0, Encoder.of_process(tokenizer)
         ids, sizes, codes, held = [], [], [], 0
 
         def shard():
