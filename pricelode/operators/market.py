@@ -229,29 +229,6 @@ def _same_listing(c: Column) -> Column:
     )
 
 
-def _identity_is_sparse(targets: DataFrame, basis: DataFrame, slack: int) -> bool:
-    """No identity or url repeats often enough to use up the slack.
-
-    Counts 8-byte hashes; a collision can only make the answer too careful.
-    """
-    keys = basis.select(
-        F.explode(
-            F.array(
-                F.when(F.col("ident").isNotNull(), F.xxhash64(F.lit("i"), "category", "ident")),
-                F.when(F.col("url_key").isNotNull(), F.xxhash64(F.lit("u"), "category", "url_key")),
-            )
-        ).alias("h"),
-    )
-    crowded = (
-        keys.filter("h is not null").groupBy("h").count().filter(F.col("count") > (slack - 1) // 2)
-        .select(F.lit(1).alias("x"))
-    )
-    nameless = targets.filter(F.col("ident").isNull()).select(F.lit(1).alias("x")).unionByName(
-        basis.filter(F.col("ident").isNull()).select(F.lit(1).alias("x"))
-    )
-    return crowded.unionByName(nameless).isEmpty()
-
-
 def comparables(targets: DataFrame, basis: DataFrame, params: MarketParams | None = None) -> DataFrame:
     """Add ``comps``: up to 15 nearest comparables per target, nearest first.
 
@@ -263,15 +240,11 @@ def comparables(targets: DataFrame, basis: DataFrame, params: MarketParams | Non
     near = _nearest_by_point(targets, basis, params, keep)
     joined = targets.join(near, ["category", "mileage"], "left")
     joined = joined.withColumn("accepted", F.filter("near", lambda x: ~_same_listing(x)))
-    if not _identity_is_sparse(targets, basis, params.identity_slack):
-        # Some listing may have more copies among its nearest rows than the
-        # slack allows for; those targets take the exact route over all rows.
-        short = (F.size("near") >= keep) & (F.size("accepted") < params.max_comparables)
-        short = F.coalesce(short, F.lit(False))
-        rest = _comparables_of_copies(joined.filter(short).drop("near", "accepted"), basis, params)
-        joined = joined.filter(~short).drop("near").unionByName(rest)
-    else:
-        joined = joined.drop("near")
+    # A listing that has more copies among its nearest rows than the slack allows for runs short; such targets take the exact
+    # route over all rows.  Both routes are always planned; the exact one is empty when nobody runs short.
+    short = F.coalesce((F.size("near") >= keep) & (F.size("accepted") < params.max_comparables), F.lit(False))
+    rest = _comparables_of_copies(joined.filter(short).drop("near", "accepted"), basis, params)
+    joined = joined.filter(~short).drop("near").unionByName(rest)
     return _pick(joined, params)
 
 

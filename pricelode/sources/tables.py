@@ -27,7 +27,7 @@ def listings(spark: SparkSession, root: str, identifiers: bool = False) -> DataF
     With ``identifiers`` some rows carry registration or chassis numbers, so
     that the identifier routes of the matching have work to do.
     """
-    lines = read_table(spark, root, "lineitem")
+    lines = read_table(spark, root, "lineitem").repartition("l_orderkey")  # as the join with the orders needs them
     part = read_table(spark, root, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     orders = read_table(spark, root, "orders").select("o_orderkey", "o_orderdate")
     joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
