@@ -35,7 +35,7 @@ from pricelode.llm.word_hash import BASE, INVERSE, mix, powers
 
 SPACE = "▁"
 UNKNOWN = 1 << 30  # codes from here on are characters without a piece
-SLICE = 1 << 20
+SLICE = 4 << 20
 CELLS = 21  # bits of the pair table's size
 UNIGRAM, BPE = 1, 2
 
