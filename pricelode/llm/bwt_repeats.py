@@ -61,7 +61,12 @@ def find_anchors(data: bytes) -> dict[str, np.ndarray]:
     for at in range(0, max(0, len(data) - LENGTH + 1), SLICE):
         end = min(len(data), at + SLICE + LENGTH - 1)
         parts.append(_anchors(data, at, end))
-    return {k: np.concatenate([p[k] for p in parts]) for k in none} if parts else none
+    if not parts:
+        return none
+    found = {k: np.concatenate([p[k] for p in parts]) for k in none}
+    new = np.flatnonzero(np.diff(found["place"], prepend=-1))  # slices next to each other can share an anchor; places ascend
+    ends = {"near": np.minimum.reduceat(found["near"], new), "far": np.maximum.reduceat(found["far"], new)}
+    return {k: ends[k] if k in ends else found[k][new] for k in none}
 
 
 def _anchors(data: bytes, start: int, end: int) -> dict[str, np.ndarray]:

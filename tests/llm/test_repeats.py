@@ -55,6 +55,20 @@ def test_long_text_in_slices(monkeypatch):
     assert set(zip(cutup["place"].tolist(), cutup["core"].tolist())) == set(zip(whole["place"].tolist(), whole["core"].tolist()))
 
 
+def test_slice_edges_repeat_nothing(spark, monkeypatch):
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    shared = text(700)
+    data = [text(6000), text(900) + shared + text(3000), text(450) + shared + text(2000), text(1250) + shared, text(2500) + shared[:450] + text(1500)]
+    monkeypatch.setattr(br, "SLICE", 1000)
+    for x in data:
+        assert len(set(br.find_anchors(x.encode())["place"].tolist())) == len(br.find_anchors(x.encode())["place"])
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in br.repeats_query(df).collect()}
+    assert got == {i: (n, k, hashlib.sha256(kept).hexdigest()) for i, (kept, n, k) in enumerate(br.brute_force([x.encode() for x in data]))}
+    assert got[0][0] == 0 and got[1][0] == 700 and got[4][0] == 450
+
+
 def test_merge_gives_the_blocks_of_one_sort():
     rng = np.random.default_rng(2)
     group = np.sort(rng.integers(0, 4, 60))
