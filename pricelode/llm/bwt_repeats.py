@@ -14,10 +14,12 @@ Strings are judged on the input; they never cross texts.
    Suffixes themselves are never compared again.  The depth at which a block splits is the common prefix of its parts; blocks are the
    intervals of repeated prefixes.  A string of offset o repeats if its anchor shares the left block of depth o and the right block of depth
    WINDOW - 1 - o with another.
-3. Covered ranges go back to their texts, which are cut in place.
+3. Hot cores.  The surroundings of a core that stands more than ``HOT`` times are not gathered: every string of theirs is
+   counted by (core, offset, hash), summed before the shuffle, and a string that stands once names its surroundings.
+4. Covered ranges go back to their texts, which are cut in place.
 
-Tasks hold one slice of text, or the distinct surroundings of some cores; repeated surroundings are counted before they are
-shuffled, so copies collapse, and hot cores are shared only by texts that agree on ``CORE`` bytes but differ around them.  Null
+Tasks hold one slice of text, or the surroundings of some cores, at most ``HOT`` of each; repeated surroundings are counted
+before they are shuffled, so copies collapse.  Null
 texts are empty; texts under 400 bytes are kept; repeated rows remove each other; further columns are not read.
 """
 
@@ -40,6 +42,7 @@ SIDE = WINDOW - 1
 SHARDS = 4
 SLICE = 1 << 20
 PLACE_BITS = 24
+HOT = 4000
 OUTSIDE = 256  # symbol beyond the end of a text
 
 
@@ -167,25 +170,61 @@ def _symbols(parts: list[bytes]) -> np.ndarray:
     return out
 
 
+def offset_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(rows, WINDOW): hash of what the string of each offset has around its core."""
+    zero = np.zeros((len(left), 1), np.uint64)
+    weights = powers(BASE, SIDE)
+    ahead, behind = (np.hstack([zero, np.cumsum((x.astype(np.uint64) + np.uint64(1)) * weights, axis=1)]) for x in (left, right))
+    return mix(mix(ahead) ^ (behind[:, ::-1] * INVERSE))
+
+
+def offset_rows(batches):
+    """Rows (core, around, n, near, far, left, right) to one row (core, around, offset, string) for each string."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            core, around, near, far = (part.column(k).to_numpy() for k in ("core", "around", "near", "far"))
+            strings = offset_hashes(_symbols(part.column("left").to_pylist()), _symbols(part.column("right").to_pylist()))
+            offsets = np.arange(WINDOW, dtype=np.int32)
+            row, offset = np.nonzero((near[:, None] <= offsets) & (offsets <= far[:, None]))
+            arrays = [core[row], around[row], offset.astype(np.int32), strings[row, offset].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["core", "around", "offset", "string"])
+
+
+def _ranges(core: np.ndarray, around: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+    """(core, around, low, high): ranges covered by the found offsets, from the anchor."""
+    kinds = pa.schema([("core", pa.int64()), ("around", pa.int64()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32()))])
+    edges = np.diff(found.astype(np.int8), axis=1, prepend=0, append=0)
+    low, high = [], []
+    for row in range(len(core)):
+        a, b = np.flatnonzero(edges[row] == 1), np.flatnonzero(edges[row] == -1) - 1
+        low.append((-b).tolist())
+        high.append((LENGTH - a).tolist())
+    return pa.RecordBatch.from_arrays([pa.array(core), pa.array(around), pa.array(low, kinds.field(2).type), pa.array(high, kinds.field(3).type)], schema=kinds)
+
+
 def merge_groups(batches):
     """Rows (core, around, n, near, far, left, right), sorted by core, to (core, around, low, high): covered ranges from the anchor."""
     from pricelode.llm.bayes_jaccard import whole_groups
 
-    kinds = pa.schema([("core", pa.int64()), ("around", pa.int64()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32()))])
     for table in whole_groups(batches, 1, 8000):
         core, around, n, near, far = (table.column(k).to_numpy() for k in ("core", "around", "n", "near", "far"))
         found = repeated_offsets(core, _symbols(table.column("left").to_pylist()), _symbols(table.column("right").to_pylist()), near, far)
         offsets = np.arange(WINDOW)
         found |= (n > 1)[:, None] & (near[:, None] <= offsets) & (offsets <= far[:, None])
-        edges = np.diff(found.astype(np.int8), axis=1, prepend=0, append=0)
-        low, high = [], []
-        for row in range(len(core)):
-            a, b = np.flatnonzero(edges[row] == 1), np.flatnonzero(edges[row] == -1) - 1
-            low.append((-b).tolist())
-            high.append((LENGTH - a).tolist())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(core), pa.array(around), pa.array(low, kinds.field(2).type), pa.array(high, kinds.field(3).type)], schema=kinds
-        )
+        yield _ranges(core, around, found)
+
+
+def without_single(batches):
+    """Rows (core, around, n, near, far, single) to (core, around, low, high): all offsets but the ``single`` ones, or all if n > 1."""
+    for batch in batches:
+        core, around, n, near, far = (batch.column(k).to_numpy() for k in range(5))
+        offsets = np.arange(WINDOW)
+        found = (near[:, None] <= offsets) & (offsets <= far[:, None])
+        for row, single in enumerate(batch.column(5).to_pylist()):
+            if single and n[row] == 1:
+                found[row, single] = False
+        yield _ranges(core, around, found)
 
 
 def cut(data: bytes, low: list[int], high: list[int]) -> tuple[bytes, int, int]:
@@ -212,12 +251,13 @@ def covered_ranges(rows: DataFrame) -> DataFrame:
     by_text = materialize(rowwise(rows.filter(F.octet_length("text") >= LENGTH), "text", out, work, ["k1", "k2"]), "repeat-anchors")
     anchors = by_text.select("k1", "k2", F.explode(F.arrays_zip(*[k for k, _ in kinds])).alias("a")).select("k1", "k2", "a.*")
     often = anchors.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).filter("n > 1")
-    often = materialize(often.select("core", (F.col("a") != F.col("b")).alias("differ")), "repeat-cores")  # so that a hot core can be split in the join
+    differ = F.col("a") != F.col("b")
+    often = materialize(often.select("core", differ.alias("differ"), (differ & (F.col("n") > HOT)).alias("hot")), "repeat-cores")  # so that a hot core can be split in the join
     shared = materialize(anchors.join(often, "core"), "repeat-shared")
-    distinct = shared.groupBy("core", "around", "differ").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place", "near", "far")).alias("rep"))
-    distinct = materialize(distinct.select("core", "around", "differ", "n", "rep.*"), "repeat-distinct")
-    wanted = distinct.filter("differ").groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "core", "around", "n", "near", "far")).alias("wanted"))
-    columns = "core long, around long, n long, near int, far int, left binary, right binary"
+    distinct = shared.groupBy("core", "around", "differ", "hot").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place", "near", "far")).alias("rep"))
+    distinct = materialize(distinct.select("core", "around", "differ", "hot", "n", "rep.*"), "repeat-distinct")
+    wanted = distinct.filter("differ").groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "core", "around", "hot", "n", "near", "far")).alias("wanted"))
+    columns = "core long, around long, hot boolean, n long, near int, far int, left binary, right binary"
 
     def fetch(batches):
         for batch in batches:
@@ -231,18 +271,25 @@ def covered_ranges(rows: DataFrame) -> DataFrame:
                     right += more[1]
                     rest += picked
                 if rest:
-                    cols = [[p[k] for p in rest] for k in ("core", "around", "n", "near", "far")]
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                    cols = [[p[k] for p in rest] for k in ("core", "around", "hot", "n", "near", "far")]
+                    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()]
                     arrays = [pa.array(c, t) for c, t in zip(cols, types)] + [pa.array(left, pa.binary()), pa.array(right, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["core", "around", "n", "near", "far", "left", "right"])
+                    yield pa.RecordBatch.from_arrays(arrays, names=["core", "around", "hot", "n", "near", "far", "left", "right"])
 
     taken = rows.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(fetch, columns).dropDuplicates(["core", "around"])
-    merged = taken.repartition("core").sortWithinPartitions("core").mapInArrow(merge_groups, "core long, around long, low array<int>, high array<int>")
+    taken = materialize(taken, "repeat-taken")
+    covered = "core long, around long, low array<int>, high array<int>"
+    merged = taken.filter("not hot").repartition("core").sortWithinPartitions("core").mapInArrow(merge_groups, covered)
     merged = materialize(merged.filter(F.size("low") > 0), "repeat-merged")
+    strings = taken.filter("hot").mapInArrow(offset_rows, "core long, around long, offset int, string long")
+    single = strings.groupBy("core", "offset", "string").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("around")).filter("n = 1")
+    single = single.groupBy("core", "around").agg(F.collect_list("offset").alias("single"))
+    hot = distinct.filter("hot").select("core", "around", "n", "near", "far").join(single, ["core", "around"], "left")
+    hot = materialize(hot.mapInArrow(without_single, covered).filter(F.size("low") > 0), "repeat-hot")
     whole = distinct.filter("not differ").select(
         "core", "around", F.array((-F.col("far")).cast("int")).alias("low"), F.array((LENGTH - F.col("near")).cast("int")).alias("high")
     )
-    ranges = shared.join(merged.union(whole), ["core", "around"]).select("k1", "k2", "place", F.explode(F.arrays_zip("low", "high")).alias("r"))
+    ranges = shared.join(merged.union(hot).union(whole), ["core", "around"]).select("k1", "k2", "place", F.explode(F.arrays_zip("low", "high")).alias("r"))
     ranges = ranges.select("k1", "k2", (F.col("place") + F.col("r.low")).alias("low"), (F.col("place") + F.col("r.high")).alias("high")).distinct()
     pair = F.collect_list(F.struct("low", "high"))
     return materialize(ranges.groupBy("k1", "k2").agg(pair.alias("ranges")), "repeat-ranges")

@@ -55,6 +55,28 @@ def test_long_text_in_slices(monkeypatch):
     assert set(zip(cutup["place"].tolist(), cutup["core"].tolist())) == set(zip(whole["place"].tolist(), whole["core"].tolist()))
 
 
+@pytest.mark.parametrize("least", [1, 12])
+def test_hot_cores_are_counted_in_spark(spark, monkeypatch, least):
+    """No task of the merge gets a core that stands more than HOT times; the result is the same."""
+    merge = br.repeated_offsets
+
+    def watched(core, *more):
+        assert np.unique(core, return_counts=True)[1].max() <= least
+        return merge(core, *more)
+
+    monkeypatch.setattr(br, "HOT", least, raising=False)
+    monkeypatch.setattr(br, "repeated_offsets", watched)
+    rnd = random.Random(7)
+    text = lambda n: "".join(rnd.choice("abcdéfgh") for _ in range(n))
+    passage = text(450)
+    data = [text(rnd.randrange(500)) + passage[rnd.randrange(60) :] + text(rnd.randrange(300)) for _ in range(60)]
+    data += [data[3], passage[:330] + text(200), text(300) + passage[100:], *corpus()]
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in br.repeats_query(df).collect()}
+    want = br.brute_force([(x or "").encode() for x in data])
+    assert got == {i: (n, k, hashlib.sha256(kept).hexdigest()) for i, (kept, n, k) in enumerate(want)}
+
+
 def test_slice_edges_repeat_nothing(spark, monkeypatch):
     rnd = random.Random(4)
     text = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
