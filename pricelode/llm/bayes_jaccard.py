@@ -337,7 +337,8 @@ def join_query(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of every class the document of least id (ties: least hash), once; documents without a word stay."""
+    """Pipeline stage: of every class the document of least id (ties: least hash), once; documents without a word are one
+    group for each text."""
     found = materialize(near_duplicates(docs), "near-found")
     first = found.filter("has_class").groupBy("class_id").agg(F.min(F.struct("id", "k1", "k2")).alias("kept"), F.count(F.lit(1)).alias("n"))
     keep = materialize(first.select("kept.k1", "kept.k2"), "near-kept")
@@ -351,4 +352,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     once = chosen.join(repeated, again, "left_anti").union(chosen.join(repeated, again, "left_semi").dropDuplicates(["__k1", "__k2"]))
     wordless = found.filter("not has_class").select("k1", "k2").distinct()
     none = keyed.join(wordless, (F.col("__k1") == wordless["k1"]) & (F.col("__k2") == wordless["k2"]), "left_semi")
-    return once.union(none).select(*docs.columns)
+    none = none.withColumn("__text", F.sha2(F.col("text").cast("binary"), 256))
+    least = none.groupBy("__text").agg(F.min(F.struct(*[F.col(c) for c in ("doc_id", "__k1", "__k2")])).alias("__least")).select("__least.*")
+    none = none.drop("__text").join(least.select("__k1", "__k2"), ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+    return once.select(*docs.columns).union(none.select(*docs.columns))

@@ -9,7 +9,7 @@ cannot have more such lines than its mean number of lines a page divided by the
 per host, and the table of hosts is joined back (Spark broadcasts it only below its own size threshold).
 
 Null texts stay null and have no lines; an empty text is one blank line; a null host is a host; repeated rows are pages of
-their own; further columns pass through unread.
+their own unless pages are counted by distinct text; further columns pass through unread.
 """
 
 from __future__ import annotations
@@ -40,13 +40,20 @@ def _blank(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r")) == ""
 
 
-def boilerplate(pages: DataFrame, site: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(site, lines): digests of the lines that stand on over ``ratio`` of the site's pages, and on ``min_pages`` at least."""
+def boilerplate(pages: DataFrame, site: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, by_text: bool = False) -> DataFrame:
+    """(site, lines): digests of the lines that stand on over ``ratio`` of the site's pages, and on ``min_pages`` at least.
+
+    ``by_text``: pages of a site with equal texts are one page, so a group of copies cannot make its own lines frequent.
+    """
     rows = pages.select(F.to_json(F.struct(site.alias("s"))).alias("site"), F.col(f"`{text}`").alias("text"))
-    totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     distinct = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: ~_blank(x)), _digest))
+    rows = rows.select("site", "text", distinct.alias("lines"))
+    if by_text:
+        digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
+        rows = materialize(rows.select("site", digest, "lines").groupBy("site", "digest").agg(F.first("lines").alias("lines")), "site-pages")
+    totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     counts = (
-        rows.select("site", F.explode(distinct).alias("line"))
+        rows.select("site", F.explode("lines").alias("line"))
         .groupBy("site", "line").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_pages)
     )
@@ -54,9 +61,9 @@ def boilerplate(pages: DataFrame, site: Column, text: str = "text", ratio: float
     return materialize(frequent.groupBy("site").agg(F.collect_list("line").alias("lines")), "site-lines")
 
 
-def drop_lines(pages: DataFrame, site: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_lines(pages: DataFrame, site: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, by_text: bool = False) -> DataFrame:
     """``pages`` with ``text`` cut, plus ``__n_lines`` and ``__n_dropped``."""
-    bad = boilerplate(pages, site, text, ratio, min_pages).withColumnRenamed("site", "__site").withColumnRenamed("lines", "__bad")
+    bad = boilerplate(pages, site, text, ratio, min_pages, by_text).withColumnRenamed("site", "__site").withColumnRenamed("lines", "__bad")
     body = F.col(f"`{text}`")
     lines = _lines(body)
     kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains("__bad", _digest(x)))
@@ -79,8 +86,8 @@ def lines_query(documents: DataFrame) -> DataFrame:
 
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: every document, its text without the boilerplate lines of its source."""
-    cut = drop_lines(docs, F.col("source"))
+    """Pipeline stage: every document, its text without the boilerplate lines of its source; copies are not removed yet, so they count once."""
+    cut = drop_lines(docs, F.col("source"), by_text=True)
     return cut.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -62,3 +62,17 @@ def test_stages_on_awkward_rows(spark):
             out.collect()
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert corpus_pipeline.STAGES[2][1](spark, spark.createDataFrame(rows, schema), SF).count() == 5
+
+
+def test_one_of_a_large_group_of_copies_stays(spark):
+    """A third of a source is one text, another source has three copies only; both texts stay whole, once."""
+    text = lambda k, n: "\n".join(" ".join(f"w{k}x{i}y{j}" for j in range(10)) for i in range(n))
+    rows = [(i, text(0, 6), "en", "s", 1) for i in range(20)] + [(100 + i, "menu line\n" + text(1 + i, 6), "en", "s", 1) for i in range(40)]
+    rows += [(200 + i, text(99, 5), "en", "small", 1) for i in range(3)] + [(300 + i, t, "en", "dash", 1) for i in range(4) for t in ("", "-- --", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, SF)
+    got = {(r.doc_id, r.text) for r in docs.collect()}
+    assert docs.count() == len(got)
+    want = {(0, text(0, 6)), (200, text(99, 5)), (300, ""), (300, "-- --"), (300, None)} | {(100 + i, text(1 + i, 6)) for i in range(40)}
+    assert got == want
