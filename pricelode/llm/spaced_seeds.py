@@ -3,13 +3,17 @@
 A mask is a fixed pattern over a few consecutive tokens; the tokens at its gaps are ignored, so a seed still matches where some
 tokens have been replaced.  The seeds of the benchmark items form a sorted array; every document's seeds are looked up in it
 (through a small bit table first), and each hit is verified: along the hit's diagonal item and document are compared token by
-token, and the best-scoring run counts if it is long enough and enough of its tokens are equal.
+token, and the best-scoring run counts if it is long enough and enough of its tokens are equal, or else the longest such window.
+
+Masks are made so that no overlap is missed.  A long enough window halves until it has under twice the least length; its mismatches
+leave a run of equal tokens, or runs of one length with single gaps, that a mask of few tokens meets.  A shorter item is divided into parts, more
+than it may have mismatches; each mask compares as many of the parts as are sure to be equal.
 
 The benchmark is a stated query set: it is worked off in blocks of at most about ``BLOCK_TOKENS`` tokens, one pass over the
 documents each, so what is shipped to the tasks has a fixed bound and documents are never shuffled.
 
 Tokens are runs of ASCII letters and digits and of non-ASCII characters, in lower case.  An overlap has at least
-``min_tokens`` tokens (or the whole item, if that is shorter) of which ``min_share`` are equal.  Items shorter than a mask are looked up whole;
+``min_tokens`` tokens (or the whole item, if that is shorter) of which ``min_share`` are equal;
 items of fewer than ``MIN_ITEM`` tokens, empty and null ones match nothing.  Null and empty documents have no overlaps; equal
 items are reported each; repeated documents give repeated results; further columns are not read.
 """
@@ -17,6 +21,7 @@ items are reported each; repeated documents give repeated results; further colum
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,15 +31,36 @@ from pyspark.sql import types as T
 from pricelode.llm.common import rowwise
 from pricelode.llm.word_hash import Words, hash_words, windows
 
-#: Fixed masks of weight 8 over 12 tokens (1: compared, 0: ignored).
-MASKS = ("111010010111", "110110011011", "101101110101")
 MIN_ITEM = 5
+#: Tokens that a mask of a short item compares at least, where it can.
+WEIGHT = 4
 BLOCK_TOKENS = 1 << 20
 TABLE_BITS = 20
 
 
-def offsets(mask: str) -> tuple[int, ...]:
-    return tuple(i for i, c in enumerate(mask) if c == "1")
+def tolerated(n: int, min_share: float) -> int:
+    """Tokens of ``n`` that may differ."""
+    return max(k for k in range(n + 1) if n - k >= min_share * n or not k)
+
+
+def long_masks(min_tokens: int, min_share: float) -> list[tuple[int, ...]]:
+    """Masks of which one at least fits into every window of ``min_tokens`` or more with a share of ``min_share``."""
+    cases = [(n, tolerated(n, min_share)) for n in range(min_tokens, 2 * min_tokens)]
+    run = max(1, min(-(-(n - k) // (k + 1)) for n, k in cases))
+    short = [(n, k) for n, k in cases if -(-(n - k) // (k + 1)) <= run]
+    if all(k and n - k == run * (k + 1) for n, k in short):  # a longer run, or all runs are equal with one token between them
+        return [tuple(range(run + 1)), tuple(i for i in range(2 * run + 1) if i != run)]
+    return [tuple(range(run))]
+
+
+def short_masks(n: int, min_share: float) -> list[tuple[int, ...]]:
+    """Masks of which one at least fits onto a whole item of ``n`` tokens with a share of ``min_share``."""
+    k = tolerated(n, min_share)
+    for equal in range(1, max(1, n - k) + 1):
+        parts = [p.tolist() for p in np.array_split(np.arange(n), min(n, k + equal))]
+        if sum(sorted(map(len, parts))[:equal]) >= min(WEIGHT, n - k):
+            break
+    return [tuple(sum(chosen, [])) for chosen in combinations(parts, equal)]
 
 
 @dataclass
@@ -54,16 +80,17 @@ class Block:
     items: Words
 
 
-def index_items(texts: list[bytes]) -> Block:
+def index_items(texts: list[bytes], min_tokens: int = 13, min_share: float = 0.8) -> Block:
     items = hash_words(texts)
     sizes = np.diff(items.first)
-    span = len(MASKS[0])
-    short = sorted({int(n) for n in sizes if MIN_ITEM <= n < span})
+    long = (sizes >= min_tokens) & (sizes >= MIN_ITEM)
+    short = sorted({int(n) for n in sizes if MIN_ITEM <= n < min_tokens})
+    masks = [(m, long, False) for m in long_masks(min_tokens, min_share)]
     out = []
-    for where, chosen in [*((offsets(m), sizes >= span) for m in MASKS), *((tuple(range(n)), sizes == n) for n in short)]:
+    for where, chosen, whole in [*masks, *((m, sizes == n, True) for n in short for m in short_masks(n, min_share))]:
         hashes, starts = windows(items, where)
         item = np.searchsorted(items.first, starts, side="right") - 1
-        ok = chosen[item]
+        ok = chosen[item] & ((starts == items.first[item]) | (not whole))
         hashes, starts, item = hashes[ok], starts[ok], item[ok]
         order = np.argsort(hashes, kind="stable")
         known = np.zeros(1 << TABLE_BITS, bool)
@@ -81,6 +108,21 @@ def best_run(equal: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
+def longest_window(equal: np.ndarray, least: int, min_share: float) -> tuple[int, int] | None:
+    """The first longest window of ``least`` or more with the share, without unequal ends that it can spare."""
+    total = np.concatenate([[0], np.cumsum(equal)])
+    size = len(equal)
+    enough = lambda n: np.flatnonzero(total[n:] - total[:-n] >= min_share * n)
+    if size < least or total[-1] < min_share * least or not any(len(enough(n)) for n in range(least, min(size + 1, 2 * least))):
+        return None
+    n = next(n for n in range(size, least - 1, -1) if len(enough(n)))
+    i = int(enough(n)[0])
+    j = i + n
+    while j - i > least and not (equal[i] and equal[j - 1]):
+        i, j = (i, j - 1) if not equal[j - 1] else (i + 1, j)
+    return i, j
+
+
 def find_overlaps(data: list[bytes], block: Block, min_tokens: int, min_share: float) -> list[list[tuple[int, int, int, int, int]]]:
     """(item, document token, item token, tokens, equal tokens) of each text."""
     docs = hash_words(data)
@@ -106,13 +148,17 @@ def find_overlaps(data: list[bytes], block: Block, min_tokens: int, min_share: f
         start, stop = max(0, -shift), min(len(b), len(a) - shift)
         equal = a[start + shift : stop + shift] == b[start:stop]
         i, j = best_run(equal)
-        n, same = j - i, int(equal[i:j].sum())
-        if n >= min(min_tokens, len(b)) and same >= min_share * n:
-            out[doc].append((item, start + shift + i, start + i, n, same))
+        least = min(min_tokens, len(b))
+        if j - i < least or equal[i:j].sum() < min_share * (j - i):
+            window = longest_window(equal, least, min_share)
+            if not window:
+                continue
+            i, j = window
+        out[doc].append((item, start + shift + i, start + i, j - i, int(equal[i:j].sum())))
     return out
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int):
+def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int, min_tokens: int = 13, min_share: float = 0.8):
     """(item ids, Block) for each block of the benchmark; a block is all that is ever on the driver."""
     rows = benchmark.select(F.col(f"`{item_id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(F.col("text").isNotNull())
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -120,7 +166,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int):
     for k in range(n):
         part = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").collect()
         if part:
-            yield [r["id"] for r in part], index_items([r["text"].encode() for r in part])
+            yield [r["id"] for r in part], index_items([r["text"].encode() for r in part], min_tokens, min_share)
 
 
 def mark_overlaps(df: DataFrame, benchmark: DataFrame, keep: list[str], **options) -> DataFrame:
@@ -137,7 +183,7 @@ def _marked(
     item = T.ArrayType(T.StructType([T.StructField("item_id", kind), *fields]))
     out = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), F.col(f"`{text}`").alias("__body"))
     out = out.withColumn("__found", F.lit(None).cast(item))
-    for ids, block in blocks(benchmark, item_id, item_text, limit):
+    for ids, block in blocks(benchmark, item_id, item_text, limit, min_tokens, min_share):
 
         def work(data, ids=ids, block=block):
             found = find_overlaps(data, block, min_tokens, min_share)

@@ -61,3 +61,35 @@ def test_planted_passages(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [6, 12, 13, 14, 15]
     assert ss.mark_overlaps(df.limit(0), bench, ["doc_id"]).count() == 0
     assert ss.without_leaks(df, bench.limit(0)).count() == df.count()
+
+
+def windows_of(doc, item, least, share):
+    a, b = tokens(doc), tokens(item)
+    least = min(least, len(b))
+    for shift in range(-len(b), len(a)):
+        start, stop = max(0, -shift), min(len(b), len(a) - shift)
+        eq = [a[i + shift] == b[i] for i in range(start, stop)]
+        total = [sum(eq[:i]) for i in range(len(eq) + 1)]
+        if any(total[j] - total[i] >= share * (j - i) for i in range(len(eq)) for j in range(i + least, len(eq) + 1)):
+            return True
+    return False
+
+
+def test_every_tolerated_overlap_is_found():
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(5))
+    for n in range(5, 27):
+        item = [word() for _ in range(n)]
+        docs = []
+        for trial in range(60):
+            part = list(item)
+            for k in rnd.sample(range(n), min(n, int(n * 0.2) + trial % 3 // 2)):
+                part[k] = "other"
+            if n > 14 and trial % 2:
+                part = part[rnd.randrange(3) : n - rnd.randrange(3)]
+            docs.append(" ".join([word()] * (trial % 2) + part + [word()] * (trial % 5)))
+        docs.append(" ".join("x" if k % 4 == 3 else w for k, w in enumerate(item)))
+        docs.append(" ".join("x" if k in (0, 13) else w for k, w in enumerate(item)))
+        found = ss.find_overlaps([x.encode() for x in docs], ss.index_items([" ".join(item).encode()]), 13, 0.8)
+        assert [bool(x) for x in found] == [windows_of(x, " ".join(item), 13, 0.8) for x in docs], n
+        assert all(o[4] >= 0.8 * o[3] and o[3] >= min(13, n) for x in found for o in x)
