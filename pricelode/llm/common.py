@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricelode.session import materialize, scratch_path  # noqa: F401  (re-exported)
@@ -63,11 +64,23 @@ def rowwise(
                 cols = [c.cast(arrow.field(i).type) if c.type != arrow.field(i).type else c for i, c in enumerate(kept + new)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    from pyspark.sql import functions as F
-
     picked = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("__text"))
     return picked.mapInArrow(run, schema)
 
 
 def seeded(seed: int, *parts: int) -> np.random.Generator:
     return np.random.default_rng([seed & 0xFFFFFFFF, *[p & 0xFFFFFFFFFFFFFFFF for p in parts]])
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with column ``name``: the place of every row in ``order``, gapless from 0.
+
+    Rows are dealt and sorted by ranges of ``order`` and written once; the number of a row is its place in its range plus the
+    rows of the ranges before, one number for each range.  Rows that agree in ``order`` are numbered in any order.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = materialize(dealt, "numbered").withColumn("__range", F.shiftright("__at", 33))
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"))
+    before = sizes.select("__range", (F.sum("__rows").over(Window.orderBy("__range")) - F.col("__rows")).alias("__before"))
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(before, "__range").withColumn(name, place).select(*[F.col(f"`{c}`") for c in df.columns], name)
