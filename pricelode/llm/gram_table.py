@@ -6,6 +6,8 @@ are told apart by their hash and then by their bytes, so equal hashes of differe
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import xxhash
 
@@ -20,6 +22,42 @@ def _turn(x: np.ndarray, bits: int) -> np.ndarray:
     return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
 
 
+def _zero_byte_tables() -> list[np.ndarray]:
+    """Tables (4, 256) that carry a crc32 over 1, 2, 4, ... zero bytes, up to 2^31."""
+    one = np.zeros(32, np.uint64)  # image of every bit under one zero byte, from the polynomial of crc32
+    for bit in range(32):
+        c = 1 << bit
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        one[bit] = c
+    tables, byte, bits = [], np.arange(256), one.astype(np.uint32)
+    for _ in range(32):
+        table = np.zeros((4, 256), np.uint32)
+        for part in range(4):
+            for bit in range(8):
+                table[part, byte >> bit & 1 == 1] ^= bits[8 * part + bit]
+        tables.append(table)
+        bits = _carry(bits, table)
+    return tables
+
+
+def _carry(crc: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[0][crc & 255] ^ table[1][crc >> 8 & 255] ^ table[2][crc >> 16 & 255] ^ table[3][crc >> 24]
+
+
+_TABLES = _zero_byte_tables()
+
+
+def join_crc32(left: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """crc32 of two strings together, from theirs and the size of the right one."""
+    out, bit = left.copy(), 0
+    while len(size) and int(size.max()) >> bit:
+        rows = np.flatnonzero(size >> bit & 1)
+        out[rows] = _carry(out[rows], _TABLES[bit])
+        bit += 1
+    return out ^ right
+
+
 class Ranges:
     """A buffer and ranges (start, size) of it."""
 
@@ -69,6 +107,11 @@ class Ranges:
             out[r] = x == y or view[x + LONG : x + n] == view[y + LONG : y + n]
         return out
 
+    def crc32(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """crc32 of every range."""
+        view = self.buffer.tobytes()
+        return np.array([crc32(view[a:b]) for a, b in zip(start.tolist(), (start + size).tolist())], np.uint32)
+
     def intern(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(slot of every range, range that holds each slot or -1)."""
         keys = self.xxhash64(start, size)

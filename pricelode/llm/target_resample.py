@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricelode.llm.common import materialize, numbered, rowwise, slices, texts
-from pricelode.llm.gram_table import Ranges
+from pricelode.llm.gram_table import Ranges, join_crc32
 
 MOST = 3
 BUCKETS = 10_000
 SMOOTHING = 1
 SCALE = 1000
 #: Words that are interned at a time.
-BLOCK = 1 << 17
-SLICE = 2 << 20
+BLOCK = 1 << 16
+SLICE = 1 << 20
 _WORD = np.array([chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" or b > 127 for b in range(256)])
 
 
@@ -59,23 +59,37 @@ class Words:
 def interned(words: Words, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Block by block: text and slot of every occurrence, bucket and count of every slot (slots that hold nothing count 0)."""
     for low in range(0, len(words.start), BLOCK):
-        first, last, text = [], [], []
-        for more in range(MOST):
-            at = np.arange(low, min(low + BLOCK, len(words.start) - more))
-            at = at[words.text[at] == words.text[at + more]]
-            first.append(words.start[at])
-            last.append(words.end[at + more])
-            text.append(words.text[at])
-        start, end = np.concatenate(first), np.concatenate(last)
+        n = min(BLOCK, len(words.start) - low)
+        here = slice(low, low + n + MOST - 1)  # n-grams that start in the block end behind it
         base = int(words.start[low])
-        ranges = Ranges(words.buffer[base : int(end.max())])
-        slots, holder = ranges.intern(start - base, end - start)
-        used = np.flatnonzero(holder >= 0)
-        view, held = memoryview(ranges.buffer), holder[used]
+        start, end, text = words.start[here] - base, words.end[here] - base, words.text[here]
+        ranges = Ranges(words.buffer[base : base + int(end[-1])])
+        first = [np.arange(min(n, len(text) - k)) for k in range(MOST)]
+        first = [at[text[at] == text[at + k]] for k, at in enumerate(first)]
+        spare = np.arange(n, len(text))
+        size = np.concatenate([*(end[at + k] - start[at] for k, at in enumerate(first)), (end - start)[spare]])
+        slots, holder = ranges.intern(np.concatenate([start[at] for at in (*first, spare)]), size)
+        word = np.concatenate([slots[:n], slots[len(slots) - len(spare) :]])
+        crc = np.concatenate(_crcs(ranges, start, end, word, first))
         bucket = np.zeros(len(holder), np.int64)
-        edges = zip((start[held] - base).tolist(), (end[held] - base).tolist())
-        bucket[used] = np.fromiter((crc32(view[a:b]) for a, b in edges), np.int64, len(used)) % buckets
-        yield np.concatenate(text), slots, bucket, np.bincount(slots, minlength=len(holder))
+        bucket[slots[: len(crc)]] = crc.astype(np.int64) % buckets
+        slots = slots[: len(crc)]
+        yield np.concatenate([text[at] for at in first]), slots, bucket, np.bincount(slots, minlength=len(holder))
+
+
+def _crcs(ranges: Ranges, start: np.ndarray, end: np.ndarray, word: np.ndarray, first: list[np.ndarray]) -> list[np.ndarray]:
+    """crc32 of the n-grams from ``first[n - 1]`` on; bytes are read once for each slot ``word`` of a word."""
+    size = end - start
+    _, one, own_of = np.unique(word, return_index=True, return_inverse=True)
+    own = ranges.crc32(start[one], size[one])[own_of]
+    space = np.full(len(own), crc32(b" "), np.uint32)
+    behind = join_crc32(space, own, size)  # the word with a space ahead
+    out, crc = [], own
+    for k, at in enumerate(first):
+        if k:
+            crc = join_crc32(crc[:-1], behind[k:], size[k:] + 1)
+        out.append(crc[at])
+    return out
 
 
 def bucket_counts(df: DataFrame, text: str = "text", buckets: int = BUCKETS) -> np.ndarray:
