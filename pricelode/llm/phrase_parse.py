@@ -17,7 +17,7 @@ cut; repeated rows count each time; ties are settled by count and phrase.  An em
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +35,19 @@ RUN = 4096
 #: Exact for counts of up to 15 digits: no product has more than 38.
 SCORE = "(CAST(1000000 AS decimal(7,0)) * (CAST(a AS decimal(15,0)) * CAST(a AS decimal(15,0)))) div (CAST(l AS decimal(18,0)) * CAST(r AS decimal(18,0)))"
 SLICE = 4 << 20
-#: Bytes after which a block of chunks is closed; with less than twice as much it has 2^21 words at most, so three word numbers fit 63 bits.
-BLOCK = 2 << 20
+#: Bytes after which a block of chunks is closed.
+BLOCK = 4 << 20
 HASH_BITS = 44
 FILTER_BITS = 1 << 26
 _PIECE = np.array([chr(b) in ".,;:!?\n\v\f\r" for b in range(256)])
 _BLANK = np.array([chr(b) in " \t" for b in range(256)]) | _PIECE
 
 
+@lru_cache(maxsize=2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return powers(BASE, 1 << bits), powers(INVERSE, 1 << bits)
+
+
 class Words:
     """Words of a buffer: start, end, the number of the piece that each lies in, and a hash of its bytes."""
 
@@ -51,9 +56,9 @@ class Words:
         edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
         self.start, self.end = edge[::2], edge[1::2]
         self.piece = np.cumsum(_PIECE[buffer], dtype=np.int32)[self.start]
+        ahead, back = _powers(max(1, len(buffer) - 1).bit_length())
         total = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers(BASE, max(1, len(buffer)))[: len(buffer)], out=total[1:])
-        back = powers(INVERSE, max(1, len(buffer)))
+        np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * ahead[: len(buffer)], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
 
 
@@ -106,17 +111,18 @@ class Block:
     """Some chunks of the dictionary as arrays of words: ``hash`` with the language in it, ``weight``, and whether a word counts here."""
 
     def __init__(self, table: pa.Table):
-        chunks = table.column("chunk").to_pylist()
-        self.buffer = b"\n".join(chunks) + b"\n"
+        chunks = table.column("chunk").combine_chunks()
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), b"\n")[0]
+        self.buffer = joined.as_py() + b"\n"
         self.words = Words(np.frombuffer(self.buffer, np.uint8))
         langs = table.column("lang").combine_chunks().dictionary_encode()
         self.langs, codes = langs.dictionary, langs.indices.to_numpy()
         of_lang = np.array([hash_of(x) for x in self.langs.to_pylist()], np.uint64)
-        # bytes of a chunk other than blanks were words in the text; only the line end between chunks parts pieces here
-        chunk = np.searchsorted(np.cumsum([len(x) + 1 for x in chunks]), self.words.start, side="right")
-        place = np.arange(len(chunk)) - np.searchsorted(chunk, chunk)
-        self.own = place >= table.column("again").to_numpy()[chunk]
-        self.place, self.lang, self.weight = place, codes[chunk], table.column("n").to_numpy()[chunk]
+        chunk = self.words.piece  # the line ends between chunks are the only piece ends
+        first = np.flatnonzero(np.diff(chunk, prepend=-1))
+        self.place = np.arange(len(chunk)) - first[chunk]
+        self.own = self.place >= table.column("again").to_numpy()[chunk]
+        self.lang, self.weight = codes[chunk], table.column("n").to_numpy()[chunk]
         self.hash = self.words.hash + of_lang[self.lang]
 
     def pairs(self) -> np.ndarray:
@@ -145,20 +151,30 @@ def blocks(batches):
         yield Block(pa.Table.from_batches(held))
 
 
-def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the first, key, sum of weights) of every distinct key."""
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows in key order, places in it where a key starts, rank of every row's key among the distinct ones)."""
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
-    new = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]) != 0)
-    return order[new], ordered[new], np.add.reduceat(weights[order], new) if len(new) else np.zeros(0, np.int64)
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), rank
+
+
+def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of every distinct key, sum of its weights)."""
+    order, new, _ = ranked(keys)
+    return order[new], np.add.reduceat(weights[order], new) if len(new) else np.zeros(0, np.int64)
 
 
 def pair_rows(batches):
     """Dictionary rows to (pair, n): hashes of word pairs with their weighted counts."""
     for block in blocks(batches):
         rows = np.flatnonzero(block.own & (block.place > 0))
-        _, pair, n = summed(block.pairs()[rows], block.weight[rows])
-        yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n)], names=["pair", "n"])
+        pair = block.pairs()[rows]
+        one, n = summed(pair, block.weight[rows])
+        yield pa.RecordBatch.from_arrays([pa.array(pair[one].view(np.int64)), pa.array(n)], names=["pair", "n"])
 
 
 def frequent_pairs(dictionary: DataFrame, least: int) -> np.ndarray:
@@ -184,17 +200,16 @@ def phrase_counts(dictionary: DataFrame, least: int) -> DataFrame:
             marked = (bits[pair >> 3] >> (pair & 7).astype(np.uint8) & 1).astype(bool) & (block.place > 0)
             names = Numbering()
             ids = np.fromiter(map(names.__getitem__, block.buffer.split()), np.int64, len(pair))
-            _, known, back = np.unique(ids * len(block.langs) + block.lang, return_index=True, return_inverse=True)
-            one, many = pa.array(names.new, pa.binary()), len(known)
-            good, key, taken = block.own, back, []
+            one = pa.array(names.new, pa.binary())
+            _, _, word = ranked(ids * len(block.langs) + block.lang)
+            good, key = block.own, word
             for size in range(1, MOST + 1):
-                if size > 1:  # all pairs of the phrase are marked
-                    good = good & marked & (block.place >= size - 1) if size == 2 else good & _back(marked, size - 2)
-                    key = key + _back(back, size - 1) * many ** (size - 1)
+                if size > 1:  # the phrase that ends a word before, and this word
+                    _, _, key = ranked(_back(key, 1) * len(word) + word)
+                    good = good & _back(marked, size - 2) & (block.place >= size - 1)
                 rows = np.flatnonzero(good)
-                at, _, n = summed(key[rows], block.weight[rows])
-                taken.append((size, rows[at], n))
-            for size, last, n in taken:
+                at, n = summed(key[rows], block.weight[rows])
+                last = rows[at]
                 parts = [one.take(pa.array(ids[last - o])) for o in range(size - 1, -1, -1)]
                 phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if size > 1 else parts[0]
                 lang = block.langs.take(pa.array(block.lang[last]))
