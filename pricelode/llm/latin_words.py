@@ -7,16 +7,23 @@ alone unless it is that space; an apostrophe on its own takes a contraction's le
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
 from pricelode.llm.word_hash import BASE, INVERSE, mix, powers
 
 OTHER, LETTER, DIGIT, BLANK, BREAK = range(5)
-#: Bytes of texts that need the general way: control characters and all but U+00C0 to U+00FF without the two signs among them.
-STRANGE = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]|[\xc0-\xc2\xc4-\xff]|\xc3[\x97\xb7]").search
+#: Bytes of texts that this module cuts: no control characters, and of other characters U+00C0 to U+00FF but for two signs.
+_PLAIN = bytes([0x09, 0x0A, 0x0D, *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3])
+
+
+def strange(text: bytes) -> bool:
+    """Whether a text needs the general way."""
+    return bool(text.translate(None, _PLAIN)) or b"\xc3\x97" in text or b"\xc3\xb7" in text
+
+
 _CLASS = np.array(
     [BLANK if b in b" \t\n\r" else DIGIT if chr(b) in "0123456789" and b < 128 else LETTER if b >= 0x80 and b != 0xFF or b < 128 and chr(b).isalpha()
      else BREAK if b == 0xFF else OTHER for b in range(256)], np.uint8
@@ -65,10 +72,16 @@ def cut_words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[real], ends[real]
 
 
+@lru_cache(maxsize=4)
+def _kept_powers(base: int, bits: int) -> np.ndarray:
+    return powers(np.uint64(base), 1 << bits)
+
+
 def _hash(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64, inverse: np.uint64) -> np.ndarray:
+    bits = len(buffer).bit_length()  # slices are alike in size, so the powers are soon known
     total = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers(base, len(buffer)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(inverse, len(buffer) + 1)[starts])
+    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * _kept_powers(int(base), bits)[: len(buffer)], out=total[1:])
+    return mix((total[ends] - total[starts]) * _kept_powers(int(inverse), bits)[starts])
 
 
 class HashedWords:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelode.llm.common import materialize, slices, texts
-from pricelode.llm.latin_words import STRANGE, HashedWords
+from pricelode.llm.latin_words import HashedWords, strange
 from pricelode.llm.word_codes import WordCodes
 
 MAGIC = b"WMX1"
@@ -236,7 +236,7 @@ class Encoder:
     def encode(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end token behind every text, and the number of ids of each."""
         special = [any(x in t for x in self.special) for t in data]
-        latin = [not p and not STRANGE(t) for t, p in zip(data, special)]
+        latin = [not p and not strange(t) for t, p in zip(data, special)]
         found = self.latin.codes([t for t, a in zip(data, latin) if a]) if any(latin) else None
         if found is None:  # no such text, or words that array hashes cannot tell apart
             latin = [False] * len(data)
