@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricelode.llm.bayes_jaccard import whole_groups
 from pricelode.llm.common import materialize, rowwise, slices, texts
 from pricelode.llm.word_hash import BASE, INVERSE, mix, powers
 
@@ -205,8 +206,6 @@ def _ranges(core: np.ndarray, around: np.ndarray, found: np.ndarray) -> pa.Recor
 
 def merge_groups(batches):
     """Rows (core, around, n, near, far, left, right), sorted by core, to (core, around, low, high): covered ranges from the anchor."""
-    from pricelode.llm.bayes_jaccard import whole_groups
-
     for table in whole_groups(batches, 1, 8000):
         core, around, n, near, far = (table.column(k).to_numpy() for k in ("core", "around", "n", "near", "far"))
         found = repeated_offsets(core, _symbols(table.column("left").to_pylist()), _symbols(table.column("right").to_pylist()), near, far)
@@ -317,7 +316,9 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def repeats_query(documents: DataFrame) -> DataFrame:
     cut_rows = remove_repeats(documents)
-    return cut_rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # Cuts fall between bytes: in ``text`` the rest of a cut character is a replacement sign.
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return cut_rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))
 
 
 def brute_force(data: list[bytes], length: int = LENGTH) -> list[tuple[bytes, int, int]]:
