@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from pricelode.config import MatchParams
 from pricelode.functions.numbers import mileage_similarity, price_similarity
-from pricelode.functions.similarity import text_similarity
+from pricelode.functions.similarity import with_ratio
 from pricelode.functions.text import blank_to_null, norm_id, norm_text, norm_variant
+from pricelode.session import materialize
 
 TEXT_EQUIPMENT = ("trim", "service_history", "last_service", "next_service", "first_registration")
 PLAIN_EQUIPMENT = ("tow_hook", "heater", "certified", "big_battery", "owners", "rental", "imported")
@@ -111,12 +112,11 @@ def _share_points(hits: Column, of: Column, points: int) -> Column:
     return F.when(of > 0, F.rint(hits / of * points)).otherwise(F.lit(0.0))
 
 
-def fingerprint_points(a: Column, b: Column, similarity: Column, params: MatchParams) -> Column:
-    """0–100; 0 when the models differ or the years conflict."""
-    blocked = ~_equal(a.model, b.model) | ~_wild(a.year, b.year)
-    variant = F.when(a.variant.isNull() | b.variant.isNull(), 0)
-    for least, points in ((0.95, 25), (0.90, 23), (0.80, 18), (0.70, 10), (0.60, 5)):
-        variant = variant.when(similarity >= least, points)
+VARIANT_POINTS = ((0.95, 25), (0.90, 23), (0.80, 18), (0.70, 10), (0.60, 5))
+
+
+def base_points(a: Column, b: Column, params: MatchParams) -> Column:
+    """Points for everything but the variant; the same in both directions."""
     same, known = equipment_agreement(a, b)
     extra, extra_known = F.lit(0), F.lit(0)
     for c in EXTRA_SIGNALS:
@@ -125,41 +125,63 @@ def fingerprint_points(a: Column, b: Column, similarity: Column, params: MatchPa
         extra = extra + _equal(x, y).cast("int")
     total = (
         F.when(_equal(a.year, b.year), 15).otherwise(0)
-        + variant.otherwise(0)
         + F.rint(mileage_similarity(F.abs(a.mileage - b.mileage), params.mileage_margin) * 25)
         + F.when(_equal(a["first"], b["first"]), 20).otherwise(0)
         + F.rint(price_similarity(F.abs(a.price - b.price), params.price_margin) * 3)
         + _share_points(same, known, 7)
         + _share_points(extra, extra_known, 5)
     )
-    return F.when(blocked, F.lit(0)).otherwise(F.least(F.lit(100), total.cast("int")))
+    return total.cast("int")
+
+
+def variant_points(similarity: Column) -> Column:
+    points = F.when(similarity.isNull(), 0)
+    for least, n in VARIANT_POINTS:
+        points = points.when(similarity >= least, n)
+    return points.otherwise(0)
+
 
+def _blocked(a: Column, b: Column) -> Column:
+    return ~_equal(a.model, b.model) | ~_wild(a.year, b.year)
 
-def decision(a: Column, b: Column, similarity: Column, params: MatchParams) -> Column:
+
+def sure_kind(a: Column, b: Column) -> Column:
+    """Why a pair matches without a score; null where only the score can tell."""
+    return F.when(reg_equal(a, b), "regnr").when(vin_shared(a, b), "vin").when(identical(a, b), "identisk_annons")
+
+
+def _verdict(sure: Column, points: Column, reason: Column, params: MatchParams) -> Column:
     """struct(matches, score, match_type, reason): reg-no, VIN, identical, then the score.
 
     A missing variant leaves at most 75 points, below the gate, so no extra
     rule about missing variants is needed.
     """
-    sure = lambda kind, reason: F.struct(
-        F.lit(True).alias("matches"), F.lit(100).alias("score"), F.lit(kind).alias("match_type"),
-        F.lit(reason).alias("reason"),
+    known = sure.isNotNull()
+    return F.struct(
+        (known | (points >= params.score_gate)).alias("matches"),
+        F.when(known, 100).otherwise(points).alias("score"),
+        F.when(sure == "identisk_annons", "fingerprint").otherwise(F.coalesce(sure, F.lit("fingerprint"))).alias("match_type"),
+        F.coalesce(sure, reason).alias("reason"),
+    )
+
+
+def with_decision(pairs: DataFrame, params: MatchParams, left: str = "a_p", right: str = "b_p",
+                  out: str = "d") -> DataFrame:
+    """Add the decision struct for ``left`` as representative and ``right`` as newcomer.
+
+    ``pairs`` is read twice: for the dictionary of variant pairs and for the decision.
+    """
+    a, b = F.col(left), F.col(right)
+    open_ = sure_kind(a, b).isNull() & ~_blocked(a, b)
+    scored = with_ratio(pairs, a.variant, b.variant, F.when(open_, F.lit(VARIANT_POINTS[-1][0])), "_ratio")
+    points = F.when(_blocked(a, b), 0).otherwise(
+        F.least(F.lit(100), base_points(a, b, params) + variant_points(F.col("_ratio")))
     )
-    points = fingerprint_points(a, b, similarity, params)
     reason = (
         F.when(~_equal(a.model, b.model), "olika_modell").when(~_wild(a.year, b.year), "olika_arsmodell")
         .otherwise("fingerprint")
     )
-    scored = F.struct(
-        (points >= params.score_gate).alias("matches"), points.alias("score"),
-        F.lit("fingerprint").alias("match_type"), reason.alias("reason"),
-    )
-    return (
-        F.when(reg_equal(a, b), sure("regnr", "regnr"))
-        .when(vin_shared(a, b), sure("vin", "vin"))
-        .when(identical(a, b), sure("fingerprint", "identisk_annons"))
-        .otherwise(scored)
-    )
+    return scored.withColumn(out, _verdict(sure_kind(a, b), points, reason, params)).drop("_ratio")
 
 
 # --- candidate pairs -----------------------------------------------------------
@@ -170,8 +192,8 @@ def _cells(value: Column, width: int) -> Column:
     return F.array(home - 1, home, home + 1)
 
 
-def _sides(prof: DataFrame) -> tuple[DataFrame, DataFrame]:
-    cols = ("pid", "first_seq", "n", "p")
+def _sides(prof: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    cols = ("pid", "first_seq", "n", "p", *more)
     return (
         prof.select(*[F.col(c).alias(f"a_{c}") for c in cols]),
         prof.select(*[F.col(c).alias(f"b_{c}") for c in cols]),
@@ -180,12 +202,27 @@ def _sides(prof: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 PAIR_COLUMNS = ["a_pid", "a_first_seq", "a_n", "a_p", "b_pid", "b_first_seq", "b_n", "b_p"]
 
+#: Rows of a side that one task compares with as many of the other side.
+BLOCK_ROWS = 2000
 
-def _same(*fields: str) -> Column:
-    cond = F.lit(True)
-    for field in fields:
-        cond = cond & (F.col(f"a_p.{field}") == F.col(f"b_p.{field}"))
-    return cond
+
+def in_blocks(a: DataFrame, b: DataFrame, on: list[str], block: int = BLOCK_ROWS) -> DataFrame:
+    """Inner join of ``a`` (``a_pid``, ...) and ``b`` (``b_pid``, ...) on ``on``, hot keys dealt over many tasks.
+
+    A key with more than ``block`` rows on a side falls into parts of about
+    ``block`` rows by the hash of ``pid``; each pair of parts is a key of its
+    own.  Keys are counted first, so only the hot ones are repeated.
+    """
+    parts = lambda df, n: df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
+    hot = parts(a, "_na").join(parts(b, "_nb"), on).filter("_na > 1 OR _nb > 1")
+
+    def dealt(df: DataFrame, pid: str, own: str, other: str) -> DataFrame:
+        n, m = (F.coalesce(f"_n{x}", F.lit(1)) for x in (own, other))
+        placed = df.join(hot, on, "left").withColumn(f"_{own}", F.pmod(F.xxhash64(pid), n).cast("int"))
+        return placed.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), m - 1))).drop("_na", "_nb")
+
+    joined = dealt(a, "a_pid", "a", "b").join(dealt(b, "b_pid", "b", "a"), [*on, "_a", "_b"])
+    return joined.drop("_a", "_b")
 
 
 def score_pairs(prof: DataFrame, params: MatchParams) -> DataFrame:
@@ -197,87 +234,91 @@ def score_pairs(prof: DataFrame, params: MatchParams) -> DataFrame:
     usable = F.col("p.model").isNotNull() & F.col("p.first").isNotNull() & F.col("p.mileage").isNotNull()
     a, b = _sides(prof.filter(usable))
     width = params.mileage_margin
-    b = b.select("*", F.explode(_cells(F.col("b_p.mileage"), width)).alias("cell"))
-    here = F.floor(F.col("a_p.mileage") / width) == F.col("cell")
+    key = lambda side: [F.col(f"{side}_p.model").alias("k_model"), F.col(f"{side}_p.first").alias("k_first")]
+    a = a.select("*", *key("a"), F.floor(F.col("a_p.mileage") / width).alias("k_cell"))
+    b = b.select("*", *key("b"), F.explode(_cells(F.col("b_p.mileage"), width)).alias("k_cell"))
     gap = F.abs(F.col("a_p.mileage") - F.col("b_p.mileage"))
-    earlier = F.col("a_first_seq") < F.col("b_first_seq")
-    return a.join(b, _same("model", "first") & here & earlier & (gap <= width)).filter(
-        _wild(F.col("a_p.year"), F.col("b_p.year"))
-    ).select(*PAIR_COLUMNS)
+    met = in_blocks(a, b, ["k_model", "k_first", "k_cell"]).filter(F.col("a_first_seq") < F.col("b_first_seq"))
+    return met.filter((gap <= width) & _wild(F.col("a_p.year"), F.col("b_p.year"))).select(*PAIR_COLUMNS)
+
+
+def in_score_route(a: Column, b: Column, params: MatchParams) -> Column:
+    """Whether :func:`score_pairs` forms this pair."""
+    near = F.abs(a.mileage - b.mileage) <= params.mileage_margin
+    return _equal(a["first"], b["first"]) & F.coalesce(near, F.lit(False)) & _equal(a.model, b.model) & _wild(a.year, b.year)
+
+
+#: Fields that may be unknown on a side of an identical pair, and the cell width of the numeric ones.
+_MAYBE = (("year", None), ("variant", None), ("mileage", 2), ("price", 2))
 
 
 def identical_pairs(prof: DataFrame) -> DataFrame:
-    """Pairs with the same core data.
+    """Pairs with the same core data; unknown values agree with everything.
 
-    Fully known profiles meet in cells of category, mileage and price; those
-    without a price in cells of category and mileage; the rest per model.
+    Profiles are sorted by the pattern of fields that they know.  Two patterns
+    meet on what both know: that is one route, with its own key, and all routes
+    share one join.  The rest of the agreement is checked on the pairs that met.
     """
     prof = prof.filter(F.col("p.model").isNotNull())
-    placed = F.col("p.year").isNotNull() & F.col("p.variant").isNotNull() & F.col("p.mileage").isNotNull()
-    priced = F.col("p.price").isNotNull()
-    in_cell = lambda c, cell: F.floor(F.col(f"a_p.{c}") / 2) == F.col(cell)
-    apart = lambda c: F.abs(F.col(f"a_p.{c}") - F.col(f"b_p.{c}"))
-    a_p, b_p = F.col("a_p"), F.col("b_p")
-    rest = _wild(a_p["first"], b_p["first"]) & _wild(a_p.reg, b_p.reg) & F.coalesce(
-        F.arrays_overlap(a_p.vins, b_p.vins), F.lit(True)
-    )
-    category = _same("model", "year", "variant")
-
-    a, b = _sides(prof.filter(placed & priced))
-    b = b.select("*", F.explode(_cells(F.col("b_p.mileage"), 2)).alias("m_cell")).select(
-        "*", F.explode(_cells(F.col("b_p.price"), 2)).alias("p_cell")
-    )
-    earlier = F.col("a_first_seq") < F.col("b_first_seq")
-    full = a.join(
-        b,
-        category & in_cell("mileage", "m_cell") & in_cell("price", "p_cell") & earlier
-        & (apart("mileage") <= 1) & (apart("price") <= 1),
-    ).filter(rest)
-
-    def in_order(met: DataFrame) -> DataFrame:
-        swap = F.col("a_first_seq") > F.col("b_first_seq")
-        cols = ("pid", "first_seq", "n", "p")
-        return met.filter(F.col("a_pid") != F.col("b_pid")).select(
-            *[F.when(swap, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"a_{c}") for c in cols],
-            *[F.when(swap, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"b_{c}") for c in cols],
-        )
-
-    a, _ = _sides(prof.filter(placed & ~priced))
-    _, b = _sides(prof.filter(placed))
-    b = b.select("*", F.explode(_cells(F.col("b_p.mileage"), 2)).alias("m_cell"))
-    no_price = a.join(b, category & in_cell("mileage", "m_cell") & (apart("mileage") <= 1)).filter(rest)
-
-    a, _ = _sides(prof.filter(~placed))
-    _, b = _sides(prof)
-    loose = a.join(b, _same("model")).filter(
-        rest & _wild(a_p.year, b_p.year) & _wild(a_p.variant, b_p.variant)
-        & _near(a_p.mileage, b_p.mileage, 1) & _near(a_p.price, b_p.price, 1)
-    )
-    return (
-        full.select(*PAIR_COLUMNS)
-        .unionByName(in_order(no_price).select(*PAIR_COLUMNS))
-        .unionByName(in_order(loose).select(*PAIR_COLUMNS))
+    mask = F.lit(0)
+    for bit, (field, _) in enumerate(_MAYBE):
+        mask = mask + F.when(F.col(f"p.{field}").isNotNull(), 1 << bit).otherwise(0)
+    prof = prof.withColumn("mask", mask)
+    found = sorted(r["mask"] for r in prof.select("mask").distinct().collect())  # 16 at most
+    a, b = _sides(prof, "mask")
+    patterns = F.explode(F.array(*[F.lit(m) for m in found]))
+    a, b = a.withColumnRenamed("a_mask", "k_a").withColumn("k_b", patterns), b.withColumnRenamed("b_mask", "k_b").withColumn("k_a", patterns)
+    both = F.col("k_a").bitwiseAND(F.col("k_b"))
+
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        df = df.filter("k_a <= k_b").withColumn("k_model", F.col(f"{side}_p.model"))
+        for bit, (field, width) in enumerate(_MAYBE):
+            value, shared = F.col(f"{side}_p.{field}"), both.bitwiseAND(F.lit(1 << bit)) != 0
+            if width is None:
+                df = df.withColumn(f"k_{field}", F.when(shared, value.cast("string")).otherwise(""))
+            elif side == "a":
+                df = df.withColumn(f"k_{field}", F.when(shared, F.floor(value / width)).otherwise(0))
+            else:
+                df = df.withColumn(f"k_{field}", F.explode(F.when(shared, _cells(value, width)).otherwise(F.array(F.lit(0).cast("bigint")))))
+        return df
+
+    on = ["k_a", "k_b", "k_model", *[f"k_{field}" for field, _ in _MAYBE]]
+    met = in_blocks(keyed(a, "a"), keyed(b, "b"), on)
+    once = (F.col("k_a") < F.col("k_b")) | (F.col("a_first_seq") < F.col("b_first_seq"))
+    met = met.filter(once & identical(F.col("a_p"), F.col("b_p")))
+    swap = F.col("a_first_seq") > F.col("b_first_seq")
+    cols = ("pid", "first_seq", "n", "p")
+    return met.select(
+        *[F.when(swap, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"a_{c}") for c in cols],
+        *[F.when(swap, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"b_{c}") for c in cols],
     )
 
 
-def with_decision(pairs: DataFrame, params: MatchParams, left: str = "a_p", right: str = "b_p",
-                  out: str = "d") -> DataFrame:
-    """Add the decision struct for ``left`` as representative and ``right`` as newcomer."""
-    sim = text_similarity(F.col(f"{left}.variant"), F.col(f"{right}.variant"))
-    pairs = pairs.withColumn("_sim", sim)
-    return pairs.withColumn(out, decision(F.col(left), F.col(right), F.col("_sim"), params)).drop("_sim")
-
-
 def match_edges(prof: DataFrame, params: MatchParams | None = None) -> DataFrame:
     """(a, b, forward, backward): value-based matches between profiles.
 
     ``forward`` is the decision with a as representative and b as newcomer.
-    Equal reg-nos and VINs are not paired up here; they stay keys.
+    Equal reg-nos and VINs are not paired up here; they stay keys.  Only the
+    variant's points depend on the direction; pairs that no variant can bring
+    over the gate go before texts are compared.
     """
     params = params or MatchParams()
-    pairs = score_pairs(prof, params).unionByName(identical_pairs(prof))
-    pairs = pairs.dropDuplicates(["a_pid", "b_pid"])
-    both = with_decision(with_decision(pairs, params, "a_p", "b_p", "fwd"), params, "b_p", "a_p", "bwd")
+    a, b = F.col("a_p"), F.col("b_p")
+    narrow = lambda pairs: pairs.select(
+        "a_pid", "b_pid", "a_first_seq", "b_first_seq", a.variant.alias("a_variant"), b.variant.alias("b_variant"),
+        sure_kind(a, b).alias("sure"), base_points(a, b, params).alias("base"),
+    )
+    pairs = narrow(score_pairs(prof, params)).unionByName(narrow(identical_pairs(prof).filter(~in_score_route(a, b, params))))
+    pairs = pairs.filter(F.col("sure").isNotNull() | (F.col("base") + VARIANT_POINTS[0][1] >= params.score_gate))
+    pairs = materialize(pairs, "match-pairs")
+    least = F.when(F.col("sure").isNotNull(), None)  # the similarity that reaches the gate
+    for similarity, points in reversed(VARIANT_POINTS):
+        least = least.when(F.col("base") + points >= params.score_gate, similarity)
+    x, y = F.col("a_variant"), F.col("b_variant")
+    both = with_ratio(with_ratio(pairs, x, y, least, "r_fwd"), y, x, least, "r_bwd")
+    points = lambda r: F.least(F.lit(100), F.col("base") + variant_points(F.col(r)))
+    verdict = lambda r: _verdict(F.col("sure"), points(r), F.lit("fingerprint"), params)
+    both = both.withColumns({"fwd": verdict("r_fwd"), "bwd": verdict("r_bwd")})
     return both.filter(F.col("fwd.matches") | F.col("bwd.matches")).select(
         F.col("a_pid").alias("a"), F.col("b_pid").alias("b"),
         F.col("fwd.matches").alias("forward"), F.col("bwd.matches").alias("backward"),

@@ -99,12 +99,12 @@ def fold(rows):
     return groups
 
 
-@pytest.mark.parametrize("seed,copies,known", [(1, 0, 8), (2, 40, 2), (3, 60, 1)])
-def test_groups_equal_sequential_fold(spark, seed, copies, known):
+@pytest.mark.parametrize("seed,copies", [(1, 0), (2, 40), (3, 60), (4, 200)])
+def test_groups_equal_sequential_fold(spark, seed, copies):
     rows = make(random.Random(seed), 40, copies)
     df = conform(spark.createDataFrame([tuple(r.get(f.name) for f in SCHEMA) for r in rows], SCHEMA))
     got = {
-        r.seq: r for r in cluster.members(df.repartition(3), known_positions=known).select(
+        r.seq: r for r in cluster.members(df.repartition(3)).select(
             "seq", "group_pos", "rep_pos", "group_size", "d.score", "d.reason").collect()
     }
     assert len(got) == len(rows)
@@ -162,22 +162,57 @@ def test_decision_edges(spark):
         assert (r.score, r.matches) == (want, want >= 82)
 
 
-def test_hot_key_folds_in_linear_time():
-    """50 000 profiles of one registration number are one group, led by the most complete."""
-    import time
+def rounds(spark, nodes, accepts, places):
+    """Groups by ``representative_rounds``: {position: position of the row that opened its group}."""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    n = frame(nodes, "component string, pid string, n long, rank int, keys array<string>, first_pos array<long>")
+    out = cluster.representative_rounds(n, frame(accepts, "rep string, pid string"), frame(places, "pid string, pos array<long>"))
+    return sorted((r.pid, r.from_pos[0], r.creator_pos[0]) for r in out.collect())
 
-    import pandas as pd
 
-    n = 50_000
+def test_hot_key_is_one_group(spark):
+    """50 000 profiles of one registration number are one group, led by the most complete; no Python worker holds it."""
     rng = random.Random(7)
-    nodes = pd.DataFrame({
-        "pid": [f"p{i}" for i in range(n)], "positions": [[[i]] for i in range(n)], "n": rng.choices([1, 5], k=n),
-        "completeness": rng.choices(range(15), k=n), "keys": [["r:ABC123"]] * n, "has_model": True,
-        "probes": [[{"at": [j], "next": None} for j in range(60)] for _ in range(n)],
-    })
-    edges = pd.DataFrame(columns=["a", "b", "forward", "backward"])
-    start = time.perf_counter()
-    out = cluster._fold(nodes, edges)
-    assert time.perf_counter() - start < 60
-    stuck = [row for row in out if row[4]]
-    assert len(stuck) <= 1 and {tuple(row[3]) for row in out if not row[4]} == {(0,)}
+    nodes = [("c", f"p{i}", 1, rng.randrange(15), ["r:ABC123"], [i]) for i in range(50_000)]
+    got = rounds(spark, nodes, [], [])
+    assert len(got) == 50_000 and {creator for _, _, creator in got} == {0}
+
+
+def test_rounds_equal_sequential_fold_on_random_graphs(spark):
+    """Asymmetric matches, changing representatives, copies and keys, in many components at once."""
+    nodes, accepts, places, want = [], [], [], []
+    for c in range(60):
+        rng = random.Random(c)
+        size = rng.randrange(2, 14)
+        rank = [rng.randrange(4) for _ in range(size)]
+        keys = [[k for k in ("k1", "k2") if rng.random() < 0.15] for _ in range(size)]
+        pairs = {(a, b) for a in range(size) for b in range(size) if a == b or rng.random() < 0.35}
+        order = list(range(size)) + [rng.randrange(size) for _ in range(rng.randrange(25))]
+        rng.shuffle(order)
+        start, groups, opened = c * 1000, [], {}
+        for at, x in enumerate(order):
+            meets = lambda rep: (rep, x) in pairs or set(keys[rep]) & set(keys[x])
+            g = next((g for g in groups if meets(g["rep"])), None)
+            if g is None:
+                g = {"rep": x, "at": at}
+                groups.append(g)
+            elif rank[x] > rank[g["rep"]]:
+                g["rep"] = x
+            opened[at] = g["at"]
+        name = lambda x: f"{c}-{x}"
+        for x in range(size):
+            own = [at for at, y in enumerate(order) if y == x]
+            nodes.append((str(c), name(x), len(own), rank[x], [f"{c}{k}" for k in keys[x]], [start + own[0]]))
+            places += [(name(x), [start + at]) for at in own if len(own) > 1]
+            last = None
+            for at in own:
+                if opened[at] != last:
+                    want.append((name(x), start + at, start + opened[at]))
+                last = opened[at]
+        accepts += [(name(a), name(b)) for a, b in pairs]
+    got, last = [], (None, None)
+    for pid, at, creator in rounds(spark, nodes, accepts, places):
+        if (pid, creator) != last:
+            got.append((pid, at, creator))
+        last = (pid, creator)
+    assert got == sorted(want)
