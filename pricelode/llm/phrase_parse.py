@@ -39,6 +39,8 @@ SLICE = 4 << 20
 BLOCK = 4 << 20
 HASH_BITS = 44
 FILTER_BITS = 1 << 26
+#: Ranges of pair hashes for each shuffle partition.
+RANGES = 8
 _PIECE = np.array([chr(b) in ".,;:!?\n\v\f\r" for b in range(256)])
 _BLANK = np.array([chr(b) in " \t" for b in range(256)]) | _PIECE
 
@@ -168,20 +170,58 @@ def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order[new], np.add.reduceat(weights[order], new) if len(new) else np.zeros(0, np.int64)
 
 
-def pair_rows(batches):
-    """Dictionary rows to (pair, n): hashes of word pairs with their weighted counts."""
-    for block in blocks(batches):
-        rows = np.flatnonzero(block.own & (block.place > 0))
-        pair = block.pairs()[rows]
-        one, n = summed(pair, block.weight[rows])
-        yield pa.RecordBatch.from_arrays([pa.array(pair[one].view(np.int64)), pa.array(n)], names=["pair", "n"])
+def pair_rows(parts: int):
+    """Dictionary rows to (part, pairs, counts): hashes of word pairs in order with their weighted counts, a range of hashes in a row."""
+
+    def run(batches):
+        edges = np.linspace(0, 1 << HASH_BITS, parts + 1).astype(np.uint64)[1:-1]
+        for block in blocks(batches):
+            rows = np.flatnonzero(block.own & (block.place > 0))
+            pair = block.pairs()[rows]
+            one, n = summed(pair, block.weight[rows])
+            pair = pair[one]
+            cuts = [0, *np.searchsorted(pair, edges).tolist(), len(pair)]
+            held = [i for i in range(parts) if cuts[i] < cuts[i + 1]]
+            packed = [pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in held], pa.binary()) for x in (pair, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), *packed], names=["part", "pairs", "counts"])
+
+    return run
+
+
+def often(least: int):
+    """Rows (part, pairs, counts), by part, to (pair): those that count ``least`` or more."""
+
+    def totals(pairs: list, counts: list) -> pa.RecordBatch:
+        pair, count = (np.frombuffer(b"".join(x), np.int64) for x in (pairs, counts))
+        one, n = summed(pair, count)
+        return pa.RecordBatch.from_arrays([pa.array(pair[one[n >= least]])], names=["pair"])
+
+    def run(batches):
+        now, pairs, counts = None, [], []
+        for batch in batches:
+            for part, x, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if part != now and pairs:
+                    yield totals(pairs, counts)
+                    pairs, counts = [], []
+                now = part
+                pairs.append(x)
+                counts.append(y)
+        if pairs:
+            yield totals(pairs, counts)
+
+    return run
 
 
 def frequent_pairs(dictionary: DataFrame, least: int) -> np.ndarray:
-    """Bitmap of ``FILTER_BITS`` bits with the bit of every pair hash that counts ``least`` or more."""
-    counted = dictionary.mapInArrow(pair_rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    """Bitmap of ``FILTER_BITS`` bits with the bit of every pair hash that counts ``least`` or more.
+
+    Hashes are dealt by ranges, some for each shuffle partition; a task adds up one range at a time.
+    """
+    parts = int(dictionary.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES
+    dealt = dictionary.mapInArrow(pair_rows(parts), "part int, pairs binary, counts binary").repartition("part").sortWithinPartitions("part")
     bit = F.col("pair") % FILTER_BITS + 1  # Spark numbers bits from 1, in parts of 32768
-    marked = counted.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    marked = dealt.mapInArrow(often(least), "pair long").groupBy(F.bitmap_bucket_number(bit).alias("part"))
+    marked = marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for row in marked.toLocalIterator():
         bits = np.frombuffer(row["bits"], np.uint8)
