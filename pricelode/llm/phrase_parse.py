@@ -17,21 +17,23 @@ cut; repeated rows count each time; ties are settled by count and phrase.  An em
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelode.llm.common import materialize, slices, texts
 from pricelode.llm.word_codes import Numbering
-from pricelode.llm.word_hash import BASE, INVERSE, mix, powers
+from pricelode.llm.word_hash import BASE, mix, powers
 
 MOST = 3
 TRIGGER = 16
 RUN = 4096
+#: Bytes up to which words are hashed together; a longer word is hashed by the library.
+LONG = 64
 #: Exact for counts of up to 15 digits: no product has more than 38.
 SCORE = "(CAST(1000000 AS decimal(7,0)) * (CAST(a AS decimal(15,0)) * CAST(a AS decimal(15,0)))) div (CAST(l AS decimal(18,0)) * CAST(r AS decimal(18,0)))"
 SLICE = 4 << 20
@@ -45,9 +47,24 @@ _PIECE = np.array([chr(b) in ".,;:!?\n\v\f\r" for b in range(256)])
 _BLANK = np.array([chr(b) in " \t" for b in range(256)]) | _PIECE
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return powers(BASE, 1 << bits), powers(INVERSE, 1 << bits)
+def word_hashes(buffer: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of every word; words advance together, byte by byte, the longest ones first."""
+    order = np.argsort(255 - np.minimum(size, 255).astype(np.uint8), kind="stable")
+    at, left = start[order], size[order]
+    found = left.astype(np.uint64)
+    long = int((size > LONG).sum())
+    view = memoryview(buffer)
+    for i in range(long):
+        found[i] = xxhash.xxh64_intdigest(view[at[i] : at[i] + left[i]])
+    m = len(order)
+    for byte in range(LONG):
+        m = int(np.searchsorted(-left[:m], -byte, side="left"))  # words with more bytes than that
+        if m <= long:
+            break
+        found[long:m] = found[long:m] * BASE + buffer[at[long:m] + byte]
+    out = np.empty_like(found)
+    out[order] = mix(found)
+    return out
 
 
 class Words:
@@ -58,10 +75,7 @@ class Words:
         edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
         self.start, self.end = edge[::2], edge[1::2]
         self.piece = np.cumsum(_PIECE[buffer], dtype=np.int32)[self.start]
-        ahead, back = _powers(max(1, len(buffer) - 1).bit_length())
-        total = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * ahead[: len(buffer)], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = word_hashes(buffer, self.start, self.end - self.start)
 
 
 def parse(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

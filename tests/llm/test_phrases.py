@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from pricelode.llm import phrase_parse as pp
@@ -92,3 +93,12 @@ def test_awkward_tables(spark):
     assert pp.phrase_query(empty).count() == 0
     silent = spark.createDataFrame([(1, None, None, "", 0, 0), (2, " .,\n", "en", "", 0, 0)], COLUMNS)
     assert pp.phrase_query(silent).count() == 0
+
+
+def test_word_hashes_depend_on_the_bytes_alone():
+    rnd = random.Random(3)
+    words = [rnd.randbytes(rnd.choice([1, 2, 5, 63, 64, 65, 300, 9000])).translate(None, b" \t\n.,;:!?\v\f\r") or b"x" for _ in range(500)]
+    for k in (1, 7):
+        found = pp.Words(np.frombuffer(b" ".join(words * k) + b"\n", np.uint8)).hash.tolist()
+        assert found == found[: len(words)] * k
+        assert len(set(found)) == len(set(words))
