@@ -18,6 +18,8 @@ window partition have a bound that does not depend on the data size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,7 @@ LEASING_TEXT_COLUMNS = (
 )
 
 from pricelode.schema import struct
+from pricelode.session import materialize
 
 # --- predicates and projections ---------------------------------------------
 
@@ -161,30 +164,32 @@ def basis_counts(df: DataFrame, params: MarketParams | None = None) -> DataFrame
 # --- comparables --------------------------------------------------------------
 
 
-_CANDIDATE = ("seq", "mileage", "price", "equipment", "ident", "url_key")
+_CANDIDATE = ("seq", "mileage", "price", "equipment", "ident_hash", "url_hash")
+_TEXTS = ("ident", "url_key")
 
 
-def _candidate() -> Column:
-    return F.struct(*_CANDIDATE)
+def _hashed(df: DataFrame) -> DataFrame:
+    """8 bytes for each identity text, null where there is none."""
+    short = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
+    return df.withColumns({"ident_hash": short("ident"), "url_hash": short("url_key")})
 
 
-def _with_gap(c: Column, gap: Column) -> Column:
+def _with_gap(c: Column, gap: Column, fields: tuple[str, ...]) -> Column:
     """The candidate with its distance first, so that structs sort nearest first."""
-    return F.struct(gap.alias("gap"), *[c[f].alias(f) for f in _CANDIDATE])
+    return F.struct(gap.alias("gap"), *[c[f].alias(f) for f in fields])
 
 
-def _nearest_by_point(targets: DataFrame, basis: DataFrame, params: MarketParams, keep: int) -> DataFrame:
-    """(category, mileage) → array of the ``keep`` nearest basis rows."""
+def _nearest_by_point(points: DataFrame, basis: DataFrame, params: MarketParams, keep: int, fields: tuple[str, ...]) -> DataFrame:
+    """(category, mileage) of ``points`` → array of the ``keep`` nearest basis rows."""
     in_order = Window.partitionBy("category", "mileage").orderBy("seq")
     own = (
-        basis.select("category", "mileage", "seq", _candidate().alias("c"))
+        basis.select("category", "mileage", "seq", F.struct(*fields).alias("c"))
         .withColumn("rn", F.row_number().over(in_order))
         .filter(F.col("rn") <= keep)
         .groupBy("category", "mileage")
         .agg(F.sort_array(F.collect_list("c")).alias("own"))
     )
-    wanted = targets.filter(F.col("mileage").isNotNull()).select("category", "mileage").distinct()
-    points = own.join(wanted.withColumn("wanted", F.lit(True)), ["category", "mileage"], "full")
+    points = own.join(points.select("category", "mileage").withColumn("wanted", F.lit(True)), ["category", "mileage"], "full")
 
     band = params.wide_band
     cell = F.floor(F.col("mileage") / band)
@@ -209,18 +214,56 @@ def _nearest_by_point(targets: DataFrame, basis: DataFrame, params: MarketParams
     here = F.coalesce(F.col("own"), F.expr("slice(flatten(below), 1, 0)"))
     merged = F.transform(
         F.concat(below, here, above),
-        lambda c: _with_gap(c, F.abs(c.mileage - F.col("mileage"))),
+        lambda c: _with_gap(c, F.abs(c.mileage - F.col("mileage")), fields),
     )
     merged = F.sort_array(F.filter(merged, lambda x: x.gap <= band))
     return spread.select("category", "mileage", F.slice(merged, 1, keep).alias("near"))
 
 
+def _most_alike(near: Column, key: Callable[[Column], Column]) -> Column:
+    """Rows of the commonest non-null key in an array."""
+    keys = F.filter(F.transform(near, key), lambda x: x.isNotNull())
+    alike = F.transform(F.array_distinct(keys), lambda k: F.size(F.filter(keys, lambda x: x == k)))
+    return F.coalesce(F.array_max(alike), F.lit(0))
+
+
+def _nearest(points: DataFrame, basis: DataFrame, params: MarketParams, fields: tuple[str, ...]) -> DataFrame:
+    """(category, mileage) → nearest rows, enough of them for every target of the point.
+
+    A target leaves out its own copies: rows of its identity, of its url or of its
+    values.  A list is enough if it holds the whole band, or if without its
+    commonest identity, url and values ``max_comparables`` rows are left.  Points
+    that have not enough widen their ring and go again.  From the second round on,
+    copies in every respect are cut to ``max_comparables`` beforehand, as no
+    target can need more of them: rings grow with differing rows only.
+    """
+    k, keep, done = params.max_comparables, params.max_comparables + params.identity_slack, None
+    near = F.col("near")
+    values = lambda x: F.struct(x.price.alias("p"), x.mileage.alias("m"))
+    left = (
+        F.size(near) - _most_alike(near, lambda x: x.ident_hash) - _most_alike(near, lambda x: x.url_hash) - _most_alike(near, values)
+    )
+    while True:
+        found = _nearest_by_point(points, basis, params, keep, fields)
+        found = materialize(found.withColumn("enough", (F.size(near) < keep) | (left >= k)), "nearest")
+        ready = found.filter("enough").drop("enough")
+        done = ready if done is None else done.unionByName(ready)
+        points = found.filter("not enough").select("category", "mileage")
+        if points.isEmpty():
+            return done
+        if keep == k + params.identity_slack:
+            alike = Window.partitionBy("category", "mileage", "price", "ident_hash", "url_hash").orderBy("seq")
+            basis = basis.join(points.select("category").distinct(), "category", "left_semi")
+            basis = materialize(basis.withColumn("rn", F.row_number().over(alike)).filter(F.col("rn") <= k).drop("rn"), "nearest-basis")
+        keep *= 4
+
+
 def _same_listing(c: Column) -> Column:
     """``c`` is the target itself: same identity, same url or, when a side has neither, same values."""
-    no_identity = F.col("ident").isNull() | c.ident.isNull()
+    no_identity = F.col("ident_hash").isNull() | c.ident_hash.isNull()
     return (
-        F.coalesce(F.col("ident") == c.ident, F.lit(False))
-        | F.coalesce(F.col("url_key") == c.url_key, F.lit(False))
+        F.coalesce(F.col("ident_hash") == c.ident_hash, F.lit(False))
+        | F.coalesce(F.col("url_hash") == c.url_hash, F.lit(False))
         | (
             no_identity
             & F.coalesce(F.col("price") == c.price, F.lit(False))
@@ -229,23 +272,21 @@ def _same_listing(c: Column) -> Column:
     )
 
 
-def comparables(targets: DataFrame, basis: DataFrame, params: MarketParams | None = None) -> DataFrame:
+def comparables(targets: DataFrame, basis: DataFrame, params: MarketParams | None = None, texts: bool = True) -> DataFrame:
     """Add ``comps``: up to 15 nearest comparables per target, nearest first.
 
     Within the near band when at least ``min_comparables`` are there, else
     within the wide band; ties in input order; never the target itself.
+    Identities are compared by their hashes; their texts come along with ``texts``.
     """
     params = params or MarketParams()
-    keep = params.max_comparables + params.identity_slack
-    near = _nearest_by_point(targets, basis, params, keep)
-    joined = targets.join(near, ["category", "mileage"], "left")
+    fields = _CANDIDATE + (_TEXTS if texts else ())
+    points = targets.filter(F.col("mileage").isNotNull()).select("category", "mileage").distinct()
+    basis = _hashed(basis).select("category", *fields)
+    near = _nearest(points, basis, params, fields)
+    joined = _hashed(targets).join(near, ["category", "mileage"], "left")
     joined = joined.withColumn("accepted", F.filter("near", lambda x: ~_same_listing(x)))
-    # A listing that has more copies among its nearest rows than the slack allows for runs short; such targets take the exact
-    # route over all rows.  Both routes are always planned; the exact one is empty when nobody runs short.
-    short = F.coalesce((F.size("near") >= keep) & (F.size("accepted") < params.max_comparables), F.lit(False))
-    rest = _comparables_of_copies(joined.filter(short).drop("near", "accepted"), basis, params)
-    joined = joined.filter(~short).drop("near").unionByName(rest)
-    return _pick(joined, params)
+    return _pick(joined.drop("near", "ident_hash", "url_hash"), params)
 
 
 def _pick(df: DataFrame, params: MarketParams) -> DataFrame:
@@ -257,52 +298,6 @@ def _pick(df: DataFrame, params: MarketParams) -> DataFrame:
     return df.withColumn("comps", F.coalesce(comps, empty)).drop("accepted", "tight")
 
 
-def _comparables_of_copies(targets: DataFrame, basis: DataFrame, params: MarketParams) -> DataFrame:
-    """Exact nearest rows for targets with many copies of themselves.
-
-    Copies share one answer, so the work is per distinct target profile, and a
-    copy class of the basis is cut to the rows that can matter.
-    """
-    profile = ["category", "mileage", "price", "ident", "url_key"]
-    k = params.max_comparables
-    band = params.wide_band
-    profiles = targets.select(*profile).distinct().withColumn("pid", F.xxhash64(*profile))
-    tcells = profiles.select(
-        *[F.col(c).alias(f"t_{c}") for c in profile],
-        "pid",
-        F.explode(F.array(*[F.floor(F.col("mileage") / band) + i for i in (-1, 0, 1)])).alias("cell"),
-    )
-    copies = Window.partitionBy(*profile).orderBy("seq")
-    limited = (
-        basis.select(*profile, "seq", _candidate().alias("c"))
-        .withColumn("rn", F.row_number().over(copies))
-        .filter(F.col("rn") <= k)
-        .withColumn("cell", F.floor(F.col("mileage") / band))
-        .select(F.col("category").alias("t_category"), "cell", "c")
-    )
-    gap = F.abs(F.col("c.mileage") - F.col("t_mileage"))
-    no_identity = F.col("t_ident").isNull() | F.col("c.ident").isNull()
-    same = (
-        F.coalesce(F.col("t_ident") == F.col("c.ident"), F.lit(False))
-        | F.coalesce(F.col("t_url_key") == F.col("c.url_key"), F.lit(False))
-        | (no_identity & F.coalesce(
-            (F.col("t_price") == F.col("c.price")) & (F.col("t_mileage") == F.col("c.mileage")), F.lit(False)))
-    )
-    key = [f"t_{c}" for c in profile]
-    nearest = Window.partitionBy(*key).orderBy("gap", "c.seq")
-    lists = (
-        tcells.join(limited, ["t_category", "cell"])
-        .withColumn("gap", gap)
-        .filter((F.col("gap") <= band) & ~same)
-        .withColumn("rn", F.row_number().over(nearest))
-        .filter(F.col("rn") <= k)
-        .groupBy(*key)
-        .agg(F.sort_array(F.collect_list(_with_gap(F.col("c"), F.col("gap")))).alias("accepted"))
-    )
-    on = [targets[c].eqNullSafe(lists[f"t_{c}"]) for c in profile]
-    return targets.join(lists, on, "left").drop(*key)
-
-
 # --- valuation ------------------------------------------------------------------
 
 
@@ -460,7 +455,7 @@ def value_listings(
     """Value every listing against the basis formed by all of them."""
     params = params or MarketParams()
     targets = with_market_columns(listings, params).withColumn("leasing_offer", leasing_flag(listings))
-    valued = comparables(targets, market_basis(targets, params), params)
+    valued = comparables(targets, market_basis(targets, params), params, details)
     valued = adjusted_median_price(valued, params)
     if details:
         valued = comparable_details(valued, params)

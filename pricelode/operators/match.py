@@ -187,20 +187,29 @@ def with_decision(pairs: DataFrame, params: MatchParams, left: str = "a_p", righ
 # --- candidate pairs -----------------------------------------------------------
 
 
-def _cells(value: Column, width: int) -> Column:
-    home = F.floor(value / width)
-    return F.array(home - 1, home, home + 1)
+def _cells(value: Column, gap: int, width: int) -> Column:
+    """Cells of ``width`` that hold values within ``gap``."""
+    return F.sequence(F.floor((value - gap) / width), F.floor((value + gap) / width))
+
+
+#: What decides whether two profiles are candidates; the rest of ``p`` joins the pairs that are.
+_CORE = ("model", "year", "variant", "mileage", "price", "reg", "vins", "first")
+PAIR_COLUMNS = ["a_pid", "a_first_seq", "a_n", "a_p", "b_pid", "b_first_seq", "b_n", "b_p"]
 
 
 def _sides(prof: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-    cols = ("pid", "first_seq", "n", "p", *more)
-    return (
-        prof.select(*[F.col(c).alias(f"a_{c}") for c in cols]),
-        prof.select(*[F.col(c).alias(f"b_{c}") for c in cols]),
+    core = F.struct(*[F.col(f"p.{c}").alias(c) for c in _CORE])
+    side = lambda s: prof.select(
+        F.col("pid").alias(f"{s}_pid"), F.col("first_seq").alias(f"{s}_first_seq"), core.alias(f"{s}_p"), *[F.col(c).alias(f"{s}_{c}") for c in more]
     )
+    return side("a"), side("b")
 
 
-PAIR_COLUMNS = ["a_pid", "a_first_seq", "a_n", "a_p", "b_pid", "b_first_seq", "b_n", "b_p"]
+def _whole(pairs: DataFrame, prof: DataFrame) -> DataFrame:
+    """``PAIR_COLUMNS`` of pairs (``a_pid``, ``b_pid``)."""
+    side = lambda s: prof.select(*[F.col(c).alias(f"{s}_{c}") for c in ("pid", "first_seq", "n", "p")])
+    return pairs.select("a_pid", "b_pid").join(side("a"), "a_pid").join(side("b"), "b_pid").select(*PAIR_COLUMNS)
+
 
 #: Rows of a side that one task compares with as many of the other side.
 BLOCK_ROWS = 2000
@@ -213,8 +222,9 @@ def in_blocks(a: DataFrame, b: DataFrame, on: list[str], block: int = BLOCK_ROWS
     ``block`` rows by the hash of ``pid``; each pair of parts is a key of its
     own.  Keys are counted first, so only the hot ones are repeated.
     """
-    parts = lambda df, n: df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
-    hot = parts(a, "_na").join(parts(b, "_nb"), on).filter("_na > 1 OR _nb > 1")
+    counted = a.select(*on, F.lit(1).alias("_na"), F.lit(0).alias("_nb")).unionByName(b.select(*on, F.lit(0).alias("_na"), F.lit(1).alias("_nb")))
+    parts = [F.ceil(F.sum(n) / block).cast("int").alias(n) for n in ("_na", "_nb")]
+    hot = counted.groupBy(*on).agg(*parts).filter("_na > 0 AND _nb > 0 AND _na + _nb > 2")
 
     def dealt(df: DataFrame, pid: str, own: str, other: str) -> DataFrame:
         n, m = (F.coalesce(f"_n{x}", F.lit(1)) for x in (own, other))
@@ -233,13 +243,13 @@ def score_pairs(prof: DataFrame, params: MatchParams) -> DataFrame:
     """
     usable = F.col("p.model").isNotNull() & F.col("p.first").isNotNull() & F.col("p.mileage").isNotNull()
     a, b = _sides(prof.filter(usable))
-    width = params.mileage_margin
+    margin = params.mileage_margin
     key = lambda side: [F.col(f"{side}_p.model").alias("k_model"), F.col(f"{side}_p.first").alias("k_first")]
-    a = a.select("*", *key("a"), F.floor(F.col("a_p.mileage") / width).alias("k_cell"))
-    b = b.select("*", *key("b"), F.explode(_cells(F.col("b_p.mileage"), width)).alias("k_cell"))
+    a = a.select("*", *key("a"), F.floor(F.col("a_p.mileage") / (2 * margin)).alias("k_cell"))
+    b = b.select("*", *key("b"), F.explode(_cells(F.col("b_p.mileage"), margin, 2 * margin)).alias("k_cell"))
     gap = F.abs(F.col("a_p.mileage") - F.col("b_p.mileage"))
     met = in_blocks(a, b, ["k_model", "k_first", "k_cell"]).filter(F.col("a_first_seq") < F.col("b_first_seq"))
-    return met.filter((gap <= width) & _wild(F.col("a_p.year"), F.col("b_p.year"))).select(*PAIR_COLUMNS)
+    return _whole(met.filter((gap <= margin) & _wild(F.col("a_p.year"), F.col("b_p.year"))), prof)
 
 
 def in_score_route(a: Column, b: Column, params: MatchParams) -> Column:
@@ -249,7 +259,7 @@ def in_score_route(a: Column, b: Column, params: MatchParams) -> Column:
 
 
 #: Fields that may be unknown on a side of an identical pair, and the cell width of the numeric ones.
-_MAYBE = (("year", None), ("variant", None), ("mileage", 2), ("price", 2))
+_MAYBE = (("year", None), ("variant", None), ("mileage", 8), ("price", 8))
 
 
 def identical_pairs(prof: DataFrame) -> DataFrame:
@@ -279,7 +289,7 @@ def identical_pairs(prof: DataFrame) -> DataFrame:
             elif side == "a":
                 df = df.withColumn(f"k_{field}", F.when(shared, F.floor(value / width)).otherwise(0))
             else:
-                df = df.withColumn(f"k_{field}", F.explode(F.when(shared, _cells(value, width)).otherwise(F.array(F.lit(0).cast("bigint")))))
+                df = df.withColumn(f"k_{field}", F.explode(F.when(shared, _cells(value, 1, width)).otherwise(F.array(F.lit(0).cast("bigint")))))
         return df
 
     on = ["k_a", "k_b", "k_model", *[f"k_{field}" for field, _ in _MAYBE]]
@@ -287,11 +297,8 @@ def identical_pairs(prof: DataFrame) -> DataFrame:
     once = (F.col("k_a") < F.col("k_b")) | (F.col("a_first_seq") < F.col("b_first_seq"))
     met = met.filter(once & identical(F.col("a_p"), F.col("b_p")))
     swap = F.col("a_first_seq") > F.col("b_first_seq")
-    cols = ("pid", "first_seq", "n", "p")
-    return met.select(
-        *[F.when(swap, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"a_{c}") for c in cols],
-        *[F.when(swap, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"b_{c}") for c in cols],
-    )
+    return _whole(met.select(F.when(swap, F.col("b_pid")).otherwise(F.col("a_pid")).alias("a_pid"),
+                             F.when(swap, F.col("a_pid")).otherwise(F.col("b_pid")).alias("b_pid")), prof)
 
 
 def match_edges(prof: DataFrame, params: MatchParams | None = None) -> DataFrame:

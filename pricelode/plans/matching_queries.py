@@ -49,6 +49,15 @@ def _identical(spark, root):
     return match.identical_pairs(profiles(spark, root)).select(*_pair_keys())
 
 
+def _identical_unknown(spark, root):
+    """The same over listings that lack a year, variant, mileage or price here and there."""
+    df = listings(spark, root, True)
+    gaps = {"model_year": 11, "variant": 13, "mileage": 17, "price": 19}
+    df = df.withColumns({c: F.when(F.col("seq.k1") % m != 3, F.col(c)) for c, m in gaps.items()})
+    prof = materialize(match.profiles(match.with_profile(df, PARAMS)), "profiles")
+    return match.identical_pairs(prof).select(*_pair_keys())
+
+
 def _model_year(spark, root):
     """Year conflicts among pairs of the score route's blocks."""
     pairs = match.score_pairs(profiles(spark, root), PARAMS)
@@ -195,6 +204,7 @@ QUERIES = {
     "regno_links": _links("r:"),
     "vin_links": _links("v:"),
     "identical_pairs": _identical,
+    "identical_pairs_unknown": _identical_unknown,
     "score_blocks": _model_year,
     "equipment_agreement": _equipment,
     "fingerprint_scores": _scores,

@@ -8,7 +8,9 @@ _COMPLETE = """(CASE WHEN reg_no IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN vin I
   + CASE WHEN mileage <> 0 THEN 1 ELSE 0 END + 1 + 1 + 1 + 1)"""
 _ATTRS = "model, variant, model_year, mileage, price, reg_no, vin, first_registration, trim, tow_hook, heater, certified, big_battery, owners"
 _PROF = f"""{P.LISTINGS}, prof AS (SELECT {_ATTRS}, min(seq) AS seq, count(*) AS n, arg_min(k1, seq) AS k1, arg_min(k2, seq) AS k2,
-  arg_min(k3, seq) AS k3, arg_min(k4, seq) AS k4, arg_min(k5, seq) AS k5 FROM listings GROUP BY {_ATTRS})"""
+  arg_min(k3, seq) AS k3, arg_min(k4, seq) AS k4, arg_min(k5, seq) AS k5, row_number() OVER (ORDER BY min(seq)) AS no FROM listings GROUP BY {_ATTRS})"""
+# The earlier profile first.  Rows meet by equality only; a difference of numbers is no join condition.
+_FIRST = "b.no - a.no > 0"
 _KEYS = ", ".join(f"a.k{i} AS a_k{i}" for i in range(1, 6)) + ", " + ", ".join(f"b.k{i} AS b_k{i}" for i in range(1, 6))
 _OUT = ", ".join(f"a_k{i}" for i in range(1, 6)) + ", " + ", ".join(f"b_k{i}" for i in range(1, 6))
 
@@ -18,6 +20,13 @@ _LINKS = """SELECT replace(value, '-', '') AS value, {keys} FROM (SELECT *, {col
 _IDENTICAL = """(a.model = b.model AND a.variant = b.variant AND a.model_year = b.model_year AND abs(a.mileage - b.mileage) <= 1
   AND abs(a.price - b.price) <= 1 AND coalesce(a.first_registration = b.first_registration, TRUE)
   AND coalesce(a.reg_no = b.reg_no, TRUE) AND coalesce(a.vin = b.vin, TRUE))"""
+# Listings that lack a year, variant, mileage or price here and there, and agreement where unknown values agree with all.
+_GAPS = ("model_year", 11), ("variant", 13), ("mileage", 17), ("price", 19)
+_UNKNOWN = _PROF.replace("FROM listings GROUP BY", "FROM gaps GROUP BY").replace(
+    ", prof AS", ", gaps AS (SELECT * REPLACE (" + ", ".join(f"CASE WHEN k1 % {m} <> 3 THEN {c} END AS {c}" for c, m in _GAPS) + ") FROM listings), prof AS")
+_AGREE = """(coalesce(a.model_year = b.model_year, TRUE) AND coalesce(a.variant = b.variant, TRUE) AND coalesce(abs(a.mileage - b.mileage) <= 1, TRUE)
+  AND coalesce(abs(a.price - b.price) <= 1, TRUE) AND coalesce(a.first_registration = b.first_registration, TRUE)
+  AND coalesce(a.reg_no = b.reg_no, TRUE) AND coalesce(a.vin = b.vin, TRUE))"""
 # Similarity of 'brand x' and 'brand y' by matching blocks: the common head plus a shared digit.
 _SIM = """CASE WHEN a.variant = b.variant THEN 1.0 ELSE 2.0 * (6 + CASE WHEN contains(substr(b.variant, 7), substr(a.variant, 7, 1))
     OR (length(a.variant) = 8 AND contains(substr(b.variant, 7), substr(a.variant, 8, 1))) THEN 1 ELSE 0 END)
@@ -29,7 +38,7 @@ _PRICE = "CASE WHEN pgap <= 1000 THEN 1.0 WHEN pgap > 5000 THEN 0.0 ELSE 1.0 - (
 _BLOCKS = f"""{_PROF}, blocks AS (SELECT {_KEYS}, a.model_year = b.model_year AS same_year, CAST(abs(a.mileage - b.mileage) AS DOUBLE) AS gap,
     abs(a.price - b.price) AS pgap, {_SIM} AS sim, {_EQ} + 1 AS same, 7 AS known, {_EXTRA} AS extra, a.reg_no = b.reg_no AS reg, a.vin = b.vin AS vin,
     {_IDENTICAL} AS ident FROM prof a JOIN prof b ON a.model = b.model AND a.first_registration = b.first_registration
-    AND abs(a.mileage - b.mileage) <= 300 AND a.seq < b.seq AND a.model_year = b.model_year),
+    AND a.model_year = b.model_year WHERE {_FIRST} AND abs(a.mileage - b.mileage) <= 300),
 points AS (SELECT *, CAST(least(100, 15 + 20 + CASE WHEN sim >= 0.95 THEN 25 WHEN sim >= 0.90 THEN 23 WHEN sim >= 0.80 THEN 18 WHEN sim >= 0.70 THEN 10
     WHEN sim >= 0.60 THEN 5 ELSE 0 END + round_even({_MIL} * 25, 0) + round_even({_PRICE} * 3, 0) + round_even(same / known * 7, 0)
     + round_even(extra / 5.0 * 5, 0)) AS INTEGER) AS points FROM blocks),
@@ -141,11 +150,19 @@ ORACLES = {
     "profile_copies": f"WITH {_PROF} SELECT n, count(*) AS n_profiles FROM prof GROUP BY n",
     "regno_links": f"WITH {_PROF} " + _LINKS.format(keys=_KEYS, col="reg_no"),
     "vin_links": f"WITH {_PROF} " + _LINKS.format(keys=_KEYS, col="vin"),
-    "identical_pairs": f"WITH {_PROF} SELECT {_KEYS} FROM prof a JOIN prof b ON a.seq < b.seq AND a.model = b.model AND a.variant = b.variant AND a.model_year = b.model_year AND {_IDENTICAL}",
+    "identical_pairs": f"""WITH {_PROF} SELECT {_KEYS} FROM prof a JOIN prof b ON a.model = b.model AND a.variant = b.variant AND a.model_year = b.model_year
+        WHERE {_FIRST} AND {_IDENTICAL} ORDER BY ALL""",
+    # Profiles that know year and variant meet on both; a profile that lacks one meets all of its model.
+    "identical_pairs_unknown": f"""WITH {_UNKNOWN}, met AS (
+        SELECT a.no AS x, b.no AS y FROM prof a JOIN prof b ON a.model = b.model AND a.variant = b.variant AND a.model_year = b.model_year
+          WHERE {_FIRST} AND {_AGREE}
+        UNION SELECT least(a.no, b.no), greatest(a.no, b.no) FROM (SELECT * FROM prof WHERE variant IS NULL OR model_year IS NULL) a
+          JOIN prof b ON a.model = b.model WHERE a.no <> b.no AND {_AGREE})
+        SELECT {_KEYS} FROM met JOIN prof a ON a.no = x JOIN prof b ON b.no = y ORDER BY ALL""",
     "score_blocks": f"""WITH {_BLOCKS} SELECT {_OUT}, same_year, CAST(round_even({_MIL} * 25, 0) AS INTEGER) AS mileage_points,
-        CAST(round_even({_PRICE} * 3, 0) AS INTEGER) AS price_points FROM points""",
-    "equipment_agreement": f"WITH {_BLOCKS} SELECT {_OUT}, CAST(same AS INTEGER) AS same, known FROM blocks",
-    "fingerprint_scores": f"WITH {_BLOCKS} SELECT {_OUT}, score, match_type, reason, matches FROM decided",
+        CAST(round_even({_PRICE} * 3, 0) AS INTEGER) AS price_points FROM points ORDER BY ALL""",
+    "equipment_agreement": f"WITH {_BLOCKS} SELECT {_OUT}, CAST(same AS INTEGER) AS same, known FROM blocks ORDER BY ALL",
+    "fingerprint_scores": f"WITH {_BLOCKS} SELECT {_OUT}, score, match_type, reason, matches FROM decided ORDER BY ALL",
     "match_edges": f"""WITH {_BLOCKS}, same AS (SELECT {_KEYS}, a.reg_no = b.reg_no AS reg, a.vin = b.vin AS vin FROM prof a JOIN prof b ON a.seq < b.seq
           AND a.model = b.model AND a.variant = b.variant AND a.model_year = b.model_year AND {_IDENTICAL})
         SELECT {_OUT}, TRUE AS forward, 100 AS score, CASE WHEN reg THEN 'regnr' WHEN vin THEN 'vin' ELSE 'identisk_annons' END AS reason FROM same

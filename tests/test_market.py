@@ -77,9 +77,26 @@ def test_level_edges(spark):
 
 
 def test_no_all_pairs_plan(spark):
-    from pricelode.plans.valuation_queries import valued
-
-    plan = valued(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "WindowGroupLimit" in plan
-    assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan
+    from pricelode.plans.valuation_queries import MARKET, valued
+    from pricelode.sources.tables import listings
+
+    rows = market.with_market_columns(listings(spark, "/root/testdata/sf0.001"), MARKET)
+    basis = market._hashed(market.market_basis(rows, MARKET))
+    near = market._nearest_by_point(rows.select("category", "mileage").distinct(), basis, MARKET, 24, market._CANDIDATE)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (near, valued(spark, "/root/testdata/sf0.001"))]
+    assert "WindowGroupLimit" in plans[0]
+    for plan in plans:
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+        assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_rings_grow_past_copies(spark):
+    """A thousand copies of one listing stand nearer than anything else: each still finds 15 others, and others find 15 of them."""
+    base = dict(model="v60", variant="T6", model_year=2023, trim=None, tow_hook=None)
+    rows = [dict(base, seq=i, mileage=5000 + i % 7, price=3e5, listing_id="hot") for i in range(1000)]
+    rows += [dict(base, seq=1000 + i, mileage=6000 + 10 * i, price=3e5 + i, listing_id=f"i{i}") for i in range(30)]
+    df = conform(spark.createDataFrame([tuple(r.get(f.name) for f in SCHEMA) for r in rows], SCHEMA))
+    out = market.value_listings(df.repartition(3), F.lit("2026-06-01").cast("date"), MarketParams())
+    got = {r.seq: r.c for r in out.select("seq", F.transform("comps", lambda x: x.seq).alias("c")).collect()}
+    for t in (rows[0], rows[999], rows[1000], rows[1029]):
+        assert got[t["seq"]] == [b["seq"] for b in brute(rows, t)]
