@@ -208,7 +208,8 @@ def _sides(prof: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
 def _whole(pairs: DataFrame, prof: DataFrame) -> DataFrame:
     """``PAIR_COLUMNS`` of pairs (``a_pid``, ``b_pid``)."""
     side = lambda s: prof.select(*[F.col(c).alias(f"{s}_{c}") for c in ("pid", "first_seq", "n", "p")])
-    return pairs.select("a_pid", "b_pid").join(side("a"), "a_pid").join(side("b"), "b_pid").select(*PAIR_COLUMNS)
+    met = materialize(pairs.select("a_pid", "b_pid"), "met-pairs")
+    return met.join(side("a"), "a_pid").join(side("b"), "b_pid").select(*PAIR_COLUMNS)
 
 
 #: Rows of a side that one task compares with as many of the other side.
@@ -224,7 +225,8 @@ def in_blocks(a: DataFrame, b: DataFrame, on: list[str], block: int = BLOCK_ROWS
     """
     counted = a.select(*on, F.lit(1).alias("_na"), F.lit(0).alias("_nb")).unionByName(b.select(*on, F.lit(0).alias("_na"), F.lit(1).alias("_nb")))
     parts = [F.ceil(F.sum(n) / block).cast("int").alias(n) for n in ("_na", "_nb")]
-    hot = counted.groupBy(*on).agg(*parts).filter("_na > 0 AND _nb > 0 AND _na + _nb > 2")
+    # Written, so that Spark knows how few they are and need not shuffle for them.
+    hot = materialize(counted.groupBy(*on).agg(*parts).filter("_na > 0 AND _nb > 0 AND _na + _nb > 2"), "hot-keys")
 
     def dealt(df: DataFrame, pid: str, own: str, other: str) -> DataFrame:
         n, m = (F.coalesce(f"_n{x}", F.lit(1)) for x in (own, other))

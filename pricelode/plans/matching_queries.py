@@ -72,7 +72,7 @@ def _model_year(spark, root):
 
 
 def _scores(spark, root):
-    pairs = match.with_decision(match.score_pairs(profiles(spark, root), PARAMS), PARAMS)
+    pairs = match.with_decision(materialize(match.score_pairs(profiles(spark, root), PARAMS), "score-pairs"), PARAMS)
     return pairs.select(*_pair_keys(), F.col("d.score").alias("score"), F.col("d.match_type").alias("match_type"),
                         F.col("d.reason").alias("reason"), F.col("d.matches").alias("matches"))
 

@@ -1,16 +1,20 @@
 """Keyed streaming state: first, last and alerted price per listing.
 
-The same rules as the batch state, kept in the engine's state store, so that a
-listing seen again is compared without reading a snapshot.
+The same rules as the batch state, kept in the engine's state store by a
+stateful processor with typed state variables, so that a listing seen again is
+compared without reading a snapshot.  A stream can start from a snapshot of the
+batch state, and forget listings that were not seen for a while.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pricelode.config import StateParams
 
@@ -18,37 +22,89 @@ OUTPUT = (
     "state_key string, n_seen bigint, first_price double, last_price double, n_alerts bigint, "
     "alert_price double"
 )
-_STATE = "n_seen bigint, first_price double, last_price double, n_alerts bigint, alert_price double"
+_COLUMNS = ["state_key", "n_seen", "first_price", "last_price", "n_alerts", "alert_price"]
+_PRICES = "first_price double, last_price double"
+_ALERTS = "n_alerts bigint, alert_price double"
+_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def keyed_alerts(stream: DataFrame, params: StateParams | None = None) -> DataFrame:
+def _new_lows(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows (pos, price) in order whose price is below all before them."""
+    rows = rows.sort_values("pos", kind="stable")
+    return rows[rows["price"] < rows["price"].cummin().shift(fill_value=float("inf"))]
+
+
+class AlertProcessor(StatefulProcessor):
+    """Counts a key's rows, keeps its prices and raises an alert for every sufficient new low.
+
+    ``forget_after_ms``: state of a key that has no rows for so long expires.
+    """
+
+    def __init__(self, drop: float, forget_after_ms: int | None = None):
+        self.drop, self.forget_after_ms = drop, forget_after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        value = lambda name, schema: handle.getValueState(name, schema, self.forget_after_ms)
+        self.seen, self.prices, self.alerts = value("seen", "n bigint"), value("prices", _PRICES), value("alerts", _ALERTS)
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        for row in initialState.itertuples(index=False):
+            known = lambda x: None if pd.isna(x) else float(x)
+            self.seen.update((0,))
+            self.prices.update((known(row.first_price), known(row.last_price)))
+            alerted = bool(row.notified) and not pd.isna(row.notified_price)
+            self.alerts.update((1 if alerted else 0, known(row.notified_price) if alerted else None))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        # Of the rows that came so far, only the new lows and the ends can matter later: a key's rows are never all held.
+        n, lows, first, last = 0, pd.DataFrame({"pos": [], "price": []}), None, None
+        for batch in rows:
+            n += len(batch)
+            priced = batch[["pos", "price"]].dropna(subset=["price"])
+            if priced.empty:
+                continue
+            lows = _new_lows(priced if lows.empty else pd.concat([lows, priced]))
+            ends = priced.sort_values("pos")
+            first = min(filter(None, (first, tuple(ends.iloc[0]))))
+            last = max(filter(None, (last, tuple(ends.iloc[-1]))))
+        n += self.seen.get()[0] if self.seen.exists() else 0
+        old_first, old_last = self.prices.get() if self.prices.exists() else (None, None)
+        alerts, bar = self.alerts.get() if self.alerts.exists() else (0, None)
+        prices = (float(first[1]) if old_first is None and first else old_first, float(last[1]) if last else old_last)
+        for price in lows["price"]:
+            if not alerts or price <= bar - self.drop:
+                alerts, bar = alerts + 1, float(price)
+        self.seen.update((n,))
+        self.prices.update(prices)
+        self.alerts.update((int(alerts), bar))
+        yield pd.DataFrame([(key[0], n, *prices, int(alerts), bar)], columns=_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_alerts(
+    stream: DataFrame, params: StateParams | None = None, snapshot: DataFrame | None = None, forget_after_ms: int | None = None
+) -> DataFrame:
     """One row per key and micro-batch with its state after the batch.
 
     ``stream`` has ``state_key``, ``pos`` (order within the stream) and
     ``price``.  Rows without a price are counted and change nothing else; of the
-    others only lowest-so-far prices can raise an alert.
+    others only lowest-so-far prices can raise an alert.  ``snapshot`` is a batch
+    state (``state_key``, ``first_price``, ``last_price``, ``notified``,
+    ``notified_price``) from which a new stream goes on.
+
+    With ``forget_after_ms`` the engine keeps looking for expired state, so a
+    stream that should end by itself (``availableNow``) needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` set to false.
     """
     params = params or StateParams()
-    drop = params.realert_drop
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        rows, parts = 0, []
-        for batch in batches:
-            rows += len(batch)
-            parts.append(batch[["pos", "price"]].dropna(subset=["price"]))
-        prices = pd.concat(parts).sort_values("pos")["price"].astype("float64")
-        n, first, last, alerts, bar = state.get if state.exists else (0, None, None, 0, None)
-        if len(prices):
-            first, last = float(prices.iloc[0]) if first is None else first, float(prices.iloc[-1])
-        lows = prices[prices < prices.cummin().shift(fill_value=float("inf"))]
-        for price in lows:
-            if not alerts or price <= bar - drop:
-                alerts, bar = alerts + 1, float(price)
-        new = (int(n + rows), first, last, int(alerts), bar)
-        state.update(new)
-        yield pd.DataFrame([(key[0], *new)], columns=[
-            "state_key", "n_seen", "first_price", "last_price", "n_alerts", "alert_price"])
-
-    return stream.groupBy("state_key").applyInPandasWithState(
-        update, OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)  # typed state variables need it
+    start = None
+    if snapshot is not None:
+        known = snapshot.select("state_key", "first_price", "last_price", F.coalesce("notified", F.lit(False)).alias("notified"), "notified_price")
+        start = known.groupBy("state_key")
+    return stream.select("state_key", "pos", "price").groupBy("state_key").transformWithStateInPandas(
+        AlertProcessor(params.realert_drop, forget_after_ms), OUTPUT, "Update", "ProcessingTime" if forget_after_ms else "None", start
     )

@@ -104,3 +104,45 @@ def test_fresh_checkpoint_goes_on_from_the_state(spark):
     assert again.origin >= 1 and again.alerts().count() == sent
     saved = StateStore(spark, intake.state_root).load().first()
     assert (saved.first_seen.isoformat(), saved.notified_price) == ("2026-01-01", 284000.0)
+
+
+def keyed_run(spark, rows, checkpoint, landing, out, **options):
+    from pricelode.streaming.alert_state import keyed_alerts
+
+    schema = "state_key string, pos string, price double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+    keyed = keyed_alerts(spark.readStream.schema(schema).parquet(landing), **options)
+    keyed.writeStream.outputMode("update").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return {(r.batch, r.state_key): tuple(r)[1:6] for r in spark.read.parquet(out).select(
+        "state_key", "n_seen", "first_price", "last_price", "n_alerts", "alert_price", "batch").collect()}
+
+
+def test_keyed_alerts_go_on_from_a_snapshot(spark):
+    """Known keys start with the batch state's prices and alert bar; others start empty; the next batch sees both."""
+    snapshot = spark.createDataFrame(
+        [("a", 300000.0, 290000.0, True, 280000.0), ("b", 200000.0, 200000.0, False, None)],
+        "state_key string, first_price double, last_price double, notified boolean, notified_price double",
+    )
+    rows = [("a", "1", 270000.0), ("a", "2", 265000.0), ("a", "3", 299000.0), ("b", "1", 199000.0), ("c", "1", None), ("c", "2", 100000.0)]
+    places = [scratch_path(spark, x) for x in ("c", "l", "o")]
+    got = keyed_run(spark, rows, *places, snapshot=snapshot)
+    assert got == {
+        (0, "a"): (3, 300000.0, 299000.0, 2, 265000.0), (0, "b"): (1, 200000.0, 199000.0, 1, 199000.0), (0, "c"): (2, 100000.0, 100000.0, 1, 100000.0),
+    }
+    got = keyed_run(spark, [("a", "4", 250001.0), ("c", "3", 85000.0)], *places, snapshot=snapshot)
+    assert got[1, "a"] == (4, 300000.0, 250001.0, 2, 265000.0) and got[1, "c"] == (3, 100000.0, 85000.0, 2, 85000.0)
+
+
+def test_keyed_state_expires(spark):
+    import time
+
+    places = [scratch_path(spark, x) for x in ("c", "l", "o")]
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        keyed_run(spark, [("a", "1", 300000.0)], *places, forget_after_ms=2000)
+        time.sleep(4)
+        got = keyed_run(spark, [("a", "2", 299000.0)], *places, forget_after_ms=2000)
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert got[1, "a"] == (1, 299000.0, 299000.0, 1, 299000.0)
