@@ -35,7 +35,7 @@ def state_key(df: DataFrame) -> Column:
     return F.coalesce(*choices, legacy_key())
 
 
-def _with_keys(run: DataFrame) -> DataFrame:
+def with_keys(run: DataFrame) -> DataFrame:
     if "state_key" not in run.columns:
         run = run.withColumn("state_key", state_key(run))
     return run if "legacy_key" in run.columns else run.withColumn("legacy_key", legacy_key())
@@ -48,7 +48,7 @@ def resolve_keys(run: DataFrame, state: DataFrame) -> DataFrame:
     run) shares that record; what the run changes then shows under both keys.
     """
     keys = (
-        _with_keys(run)
+        with_keys(run)
         .groupBy("state_key")
         .agg(
             F.min(F.struct("seq", "legacy_key", "price")).alias("first"),
@@ -72,15 +72,16 @@ def resolve_keys(run: DataFrame, state: DataFrame) -> DataFrame:
     return keys.select("state_key", "first", "last", record.alias("record_key"))
 
 
-def update_state(
+def changed_state(
     run: DataFrame, state: DataFrame, as_of: Column, params: StateParams | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(run rows with days listed and price drop, next state).
+    """(run rows with days listed and price drop, the state rows that the run makes or changes).
 
-    Everything is per-key aggregates and joins: no key's rows are gathered.
+    ``state`` needs the rows of the run's keys and legacy keys only.  Everything
+    is per-key aggregates and joins: no key's rows are gathered.
     """
     params = params or StateParams()
-    run = _with_keys(run)
+    run = with_keys(run)
     keys = resolve_keys(run, state)
     known = state.select(
         F.col("state_key").alias("record_key"), "first_seen", "first_price", "notified", "notified_price",
@@ -126,10 +127,16 @@ def update_state(
         records.join(keys.select("state_key"), F.col("record_key") == F.col("state_key"), "left_anti")
         .select(F.col("record_key").alias("state_key"), "record_key", *cols)
     )
-    kept = state.join(changed.select("state_key"), "state_key", "left_anti").select(
-        "state_key", F.col("state_key").alias("record_key"), *cols
-    )
-    return rows, changed.unionByName(kept)
+    return rows, changed
+
+
+def update_state(
+    run: DataFrame, state: DataFrame, as_of: Column, params: StateParams | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(run rows with days listed and price drop, next state)."""
+    rows, changed = changed_state(run, state, as_of, params)
+    kept = state.join(changed.select("state_key"), "state_key", "left_anti").withColumn("record_key", F.col("state_key"))
+    return rows, changed.unionByName(kept.select(*changed.columns))
 
 
 def already_alerted(params: StateParams | None = None) -> Column:

@@ -1,6 +1,7 @@
 """Streaming intake: landed listing files update state and raise alerts.
 
-Every micro-batch runs the batch operators.  The state after batch *n* is
+Every micro-batch runs the batch operators over the buckets of the state that
+hold its keys, and writes these buckets only.  The state after batch *n* is
 snapshot *origin + n + 1*, computed from snapshot *origin + n* or older, and the
 alerts of batch *n* have their own folder; a batch that is run again after a
 failure therefore replaces its results instead of adding to them.  The origin is
@@ -37,13 +38,15 @@ class ListingIntake:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         store = StateStore(self.spark, self.state_root)
         number = self.origin + batch_id
-        before = store.load(at_most=number)
-        rows, after = ops.update_state(batch, before, self.as_of, self.params)
-        rows, after = materialize(rows, "intake-rows"), materialize(after, "intake-state")
-        decided = ops.alert_decisions(self.candidates(rows), after, self.params)
+        batch = ops.with_keys(batch)
+        keys = batch.select("state_key").unionByName(batch.select(F.col("legacy_key").alias("state_key")))
+        before = store.load(at_most=number, keys=keys)
+        rows, changed = ops.changed_state(batch, before, self.as_of, self.params)
+        rows, changed = materialize(rows, "intake-rows"), materialize(changed, "intake-state")
+        decided = ops.alert_decisions(self.candidates(rows), changed, self.params)
         sent = materialize(decided.filter("alert"), "intake-alerts")
         sent.write.mode("overwrite").parquet(f"{self.alert_root.rstrip('/')}/batch={number}")
-        store.write(ops.mark_alerted(after, sent), version=number + 1)
+        store.update(ops.mark_alerted(changed, sent), version=number + 1, base=number)
 
     def _origin_of(self, checkpoint: str) -> int:
         mark = f"{checkpoint.rstrip('/')}-origin"

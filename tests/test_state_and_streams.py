@@ -146,3 +146,17 @@ def test_keyed_state_expires(spark):
     finally:
         spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert got[1, "a"] == (1, 299000.0, 299000.0, 1, 299000.0)
+
+
+def test_a_small_batch_rewrites_its_buckets_only(spark):
+    intake = ListingIntake(spark, scratch_path(spark, "s"), scratch_path(spark, "a"), day("2026-01-01"))
+    many = [(f"id{i}", None, None, "v60", "T6", 2023, 5000 + i, 300000.0, i) for i in range(300)]
+    intake.process(spark.createDataFrame(many, ROW), 0)
+    store = StateStore(spark, intake.state_root)
+    before = store.manifest()
+    intake.process(run_of(spark, [250000.0], "id7"), 1)
+    after = store.manifest()
+    assert len(before) > 50 and set(before) == set(after) and 1 <= sum(before[b] != after[b] for b in after) <= 2
+    saved = {r.state_key: r for r in store.load().collect()}
+    assert len(saved) == 300 and saved["annons:id7"].last_price == 250000.0 and saved["annons:id8"].last_price == 300000.0
+    assert store.load(at_most=1).filter("last_price < 300000").count() == 0
