@@ -11,7 +11,7 @@ draw for the partitions of a group.  No step puts a shard into one task: ranks a
 of about ``BLOCK_ROWS`` rows, and offsets are sums of block counts.
 
 Null texts count as empty; repeated rows are rows of their own; an empty table gives empty shards; further columns pass
-through (names starting with two underscores are the operator's).
+through whatever their names, but for ``shard`` and ``slot``.
 """
 
 from __future__ import annotations
@@ -94,8 +94,10 @@ def communication_matrix(sizes: DataFrame, shards: int, seed: int) -> tuple[Data
 
 
 def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 11) -> DataFrame:
-    """``df`` with ``shard`` and ``slot`` (position in the shard, gapless from 0)."""
-    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "shuffle-rows")
+    """``df`` with ``shard`` and ``slot`` (position in the shard, gapless from 0); input columns of these names are replaced."""
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(None).alias("none"))
+    rows = materialize(df.select(whole.alias("__whole"), F.monotonically_increasing_id().alias("__row")), "shuffle-rows")
     rows = rows.withColumn("__pid", F.shiftright("__row", 33))  # the input partition
     matrix, n = communication_matrix(rows.groupBy("__pid").agg(F.count(F.lit(1)).alias("rows")), shards, seed)
     matrix = materialize(matrix, "shuffle-matrix")
@@ -110,7 +112,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = 8, seed: int = 11) -> DataF
     offsets = counts.select("shard", "__block", before.alias("__before"))
     rank = F.row_number().over(Window.partitionBy("shard", "__block").orderBy(key, "__row"))
     numbered = placed.withColumn("__rank", rank).join(offsets, ["shard", "__block"])
-    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], "shard", (F.col("__before") + F.col("__rank") - 1).alias("slot"))
+    return numbered.select(*[F.col(f"__whole.`{c}`") for c in kept], "shard", (F.col("__before") + F.col("__rank") - 1).alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 8, seed: int = 11) -> None:

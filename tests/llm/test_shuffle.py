@@ -58,3 +58,13 @@ def test_large_population_follows_the_law(monkeypatch):
     assert es.hypergeometric(rng, 3, 0, 2) == 2 and es.hypergeometric(rng, 0, 3, 2) == 0
     huge = [es.hypergeometric(rng, 6 * 10**9, 4 * 10**9, 10**6) for _ in range(200)]
     assert abs(np.mean(huge) - 600_000) < 200
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["id", "cuts", "shard", "slot", "__row", "__pid", "__rank", "__block", "__before", "rows", "row", "a.b"]
+    df = spark.createDataFrame([(i, *[f"{n}{i}" for n in names[1:]]) for i in range(40)], names).repartition(3)
+    got = es.shuffle_into_shards(df, 4)
+    assert got.columns == [n for n in names if n not in ("shard", "slot")] + ["shard", "slot"]
+    for r in got.collect():
+        assert (r["cuts"], r["__row"], r["__before"], r["a.b"]) == tuple(f"{n}{r['id']}" for n in ("cuts", "__row", "__before", "a.b"))
+    assert sorted((r.shard, r.slot) for r in got.collect()) == [(j, k) for j in range(4) for k in range(10)]
