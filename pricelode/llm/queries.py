@@ -30,5 +30,5 @@ QUERIES = {
 }
 ORACLES = {
     "op7_site_lines": site_lines.LINES_SQL, "op8_chat_parts": chat_parts.CHAT_SQL,
-    "op12_source_mix": source_mix.MIX_SQL, "op13_phrase_parse": phrase_parse.PHRASE_SQL,
+    "op11_target_resample": target_resample.RESAMPLE_SQL, "op12_source_mix": source_mix.MIX_SQL, "op13_phrase_parse": phrase_parse.PHRASE_SQL,
 }

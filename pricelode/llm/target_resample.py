@@ -164,3 +164,46 @@ def drawn(df: DataFrame, target: DataFrame, key: str = "doc_id", **options) -> D
 
 def resample_query(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return resample(documents, benchmark).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# crc32 is linear: each byte's share, carried over the bytes behind it, is looked up and added up by XOR; ``carry`` with b = 256 is the start value.
+RESAMPLE_SQL = """
+WITH RECURSIVE words AS (
+  SELECT 0 AS src, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark),
+cut AS (
+  SELECT src, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM words),
+counts AS (
+  SELECT src, doc_id, f, count(*) AS n
+  FROM (SELECT src, doc_id, array_to_string(w[i:i + k - 1], ' ') AS f
+        FROM (SELECT src, doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM cut, (VALUES (1), (2), (3)) v(k)))
+  GROUP BY ALL),
+feats AS (SELECT f, hex(f) AS h, strlen(f) AS size FROM (SELECT DISTINCT f FROM counts)),
+tab AS (
+  SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+  FROM range(256) r(b)),
+carry AS (
+  SELECT b, 0::BIGINT AS k, c FROM tab UNION ALL SELECT 256, 0, 4294967295
+  UNION ALL
+  SELECT y.b, y.k + 1, xor(y.c >> 8, t.c) FROM carry y JOIN tab t ON t.b = y.c & 255 WHERE y.k < (SELECT max(size) FROM feats)),
+shares AS (
+  SELECT f, size, bit_xor(c) AS x
+  FROM (SELECT f, size, i, ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT AS b FROM (SELECT f, size, h, unnest(range(size)) AS i FROM feats)) s
+    JOIN carry ON carry.b = s.b AND carry.k = size - 1 - i
+  GROUP BY f, size),
+hashed AS (SELECT f, xor(4294967295, xor(x, carry.c)) % 10000 AS bucket FROM shares JOIN carry ON carry.b = 256 AND carry.k = size),
+held AS (SELECT bucket, coalesce(sum(n) FILTER (src = 0), 0) AS s, coalesce(sum(n) FILTER (src = 1), 0) AS t FROM counts JOIN hashed USING (f) GROUP BY bucket),
+total AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM held),
+gains AS (
+  SELECT bucket, floor(1000 * ln((held.t + 1)::DOUBLE * (total.s + 10000)::DOUBLE / ((held.s + 1)::DOUBLE * (total.t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM held, total),
+weights AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM counts JOIN hashed USING (f) JOIN gains USING (bucket) WHERE src = 0 GROUP BY doc_id),
+scored AS (
+  SELECT c.doc_id, len(c.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || c.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM cut c LEFT JOIN weights w ON w.doc_id = c.doc_id WHERE c.src = 0),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, r.rank
+FROM scored s LEFT JOIN (SELECT * FROM ranked WHERE rank <= (SELECT count(*) FROM ranked) * 5 // 100) r ON r.doc_id = s.doc_id
+"""
