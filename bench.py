@@ -19,7 +19,7 @@ from pricelode.session import local_session  # noqa: E402
 HEADLINE = (
     "bargain_classes", "total_score", "candidate_funnel", "market_basis_counts", "requirement_filter",
     "history_metrics", "trend_table", "daily_median_categories", "state_upsert", "alert_decisions",
-    "fingerprint_scores", "labelled_cards", "detail_facts", "variant_of_text",
+    "fingerprint_scores", "labelled_cards", "detail_facts", "variant_of_text", "duplicate_groups", "merged_listings",
 )
 
 

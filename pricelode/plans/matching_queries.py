@@ -108,10 +108,10 @@ def _merged(spark, root):
 
 
 def _match_details(spark, root):
-    merged = cluster.merge_members(members(spark, root))
-    return merged.select("listing_id", F.explode("matches").alias("m")).select(
-        "listing_id", F.col("m.source").alias("source"), F.col("m.listing_id").alias("duplicate_id"),
-        F.col("m.score").alias("score"), F.col("m.match_type").alias("match_type"), F.col("m.reason").alias("reason"),
+    rows = members(spark, root)
+    reps = rows.filter("is_rep and grouped").select("group_pos", F.col("listing_id").alias("rep_id"))
+    return cluster.group_matches(rows).join(reps, "group_pos").select(
+        F.col("rep_id").alias("listing_id"), "source", F.col("listing_id").alias("duplicate_id"), "score", "match_type", "reason",
     )
 
 
@@ -120,7 +120,7 @@ def _summary(spark, root):
 
 
 def _overlap(spark, root):
-    return cluster.source_overlap(cluster.merge_members(members(spark, root)))
+    return cluster.source_overlap(cluster.merged_groups(members(spark, root)))
 
 
 def _review(spark, root):

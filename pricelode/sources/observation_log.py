@@ -1,11 +1,15 @@
 """The append-only log of listing and valuation observations.
 
-JSON lines below one folder, partitioned by month; every append is one Spark
-write.  The scan keeps going over blank, broken and non-object lines.
+JSON lines below one folder, partitioned by month and by a bucket of the listing
+key; every append is one Spark write.  The history of a few keys reads the files
+of their buckets only.  The scan keeps going over blank, broken and non-object
+lines.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +21,7 @@ from pricelode.operators.score import first_url
 from pricelode.schema import OBSERVATION, conform
 
 _BAD = "_broken"
+BUCKETS = 16
 
 
 def listing_records(listings: DataFrame, ts: Column) -> DataFrame:
@@ -46,12 +51,16 @@ def valuation_records(valued: DataFrame, ts: Column) -> DataFrame:
     return conform(out, OBSERVATION)
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("listing_key"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
 def append(records: DataFrame, root: str, timezone: str = TrendParams.timezone, run_id: str | None = None) -> None:
     """Adds records by month; those of a named run replace what an earlier attempt of the run has written."""
     local = F.convert_timezone(None, F.lit(timezone), F.col("ts"))
-    folder = f"{root.rstrip('/')}/records" + (f"/run-{run_id}" if run_id else "")
-    rows = records.withColumn("month", F.date_format(local, "yyyy-MM")).write.partitionBy("month")
-    rows.mode("overwrite" if run_id else "append").json(folder)
+    folder = f"{root.rstrip('/')}/records/run-{run_id or uuid.uuid4().hex}"
+    rows = records.withColumns({"month": F.date_format(local, "yyyy-MM"), "bucket": _bucket()})
+    rows.repartition("month", "bucket").write.partitionBy("month", "bucket").mode("overwrite").json(folder)
 
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
@@ -63,5 +72,16 @@ def scan(spark: SparkSession, *paths: str) -> DataFrame:
     return rows.filter(F.col(_BAD).isNull() & F.col("kind").isNotNull()).select(*OBSERVATION.fieldNames())
 
 
-def scan_log(spark: SparkSession, root: str) -> DataFrame:
-    return scan(spark, f"{root.rstrip('/')}/records")
+def scan_log(spark: SparkSession, root: str, keys: DataFrame | None = None) -> DataFrame:
+    """All records of the log; with ``keys`` (``listing_key``), the records in the buckets of these keys only."""
+    records = f"{root.rstrip('/')}/records"
+    if keys is None:
+        return scan(spark, records)
+    touched = sorted(r["bucket"] for r in keys.select(_bucket()).distinct().collect())  # ``BUCKETS`` at most
+    paths = [p for b in touched if _any_file(spark, p := f"{records}/run-*/month=*/bucket={b}")]
+    return scan(spark, *paths) if paths else spark.createDataFrame([], OBSERVATION)
+
+
+def _any_file(spark: SparkSession, pattern: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
