@@ -8,7 +8,6 @@ alone unless it is that space; an apostrophe on its own takes a contraction's le
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 
@@ -72,62 +71,104 @@ def cut_words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[real], ends[real]
 
 
-@lru_cache(maxsize=4)
-def _kept_powers(base: int, bits: int) -> np.ndarray:
-    return powers(np.uint64(base), 1 << bits)
+#: Powers of each base, kept for slices of up to ``KEPT_POWERS`` bytes; longer texts make their own.
+KEPT_POWERS = 5 << 19
+_kept: dict[int, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    if n > KEPT_POWERS:
+        return powers(base, n)
+    if len(_kept.get(int(base), ())) < n:
+        _kept[int(base)] = powers(base, (n + (1 << 18) - 1) >> 18 << 18)
+    return _kept[int(base)][:n]
 
 
 def _hash(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64, inverse: np.uint64) -> np.ndarray:
-    bits = len(buffer).bit_length()  # slices are alike in size, so the powers are soon known
     total = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * _kept_powers(int(base), bits)[: len(buffer)], out=total[1:])
-    return mix((total[ends] - total[starts]) * _kept_powers(int(inverse), bits)[starts])
+    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * _powers(base, len(buffer)), out=total[1:])
+    return mix((total[ends] - total[starts]) * _powers(inverse, len(buffer) + 1)[starts])
 
 
 class HashedWords:
-    """Codes of words by 128-bit hashes; ``encode`` gives the codes of new words: (flat codes, codes per word)."""
+    """Codes of words by 128-bit hashes in an open-addressed table; ``encode`` gives the codes of new words: (flat codes, codes per word).
+
+    With more than ``limit`` words the table starts afresh, which bounds memory and not results.
+    """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int):
         self.encode, self.limit = encode, limit
-        self._clear()
-
-    def _clear(self) -> None:
-        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.first, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self._clear(max(16, 2 * limit))
+
+    def _clear(self, slots: int) -> None:
+        capacity = 1 << (slots - 1).bit_length()
+        self.key, self.check = np.zeros(capacity, np.uint64), np.zeros(capacity, np.uint64)
+        self.first, self.sizes = np.zeros(capacity, np.int64), np.zeros(capacity, np.int32)  # size 0: a free slot
+        self.known, self.flat = 0, np.zeros(0, np.uint32)
+
+    def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Slot of every word, -1 where it is not known."""
+        mask = np.uint64(len(self.key) - 1)
+        at, out, left = (key & mask).astype(np.int64), np.full(len(key), -1, np.int64), np.arange(len(key))
+        while len(left):
+            here = at[left]
+            used = self.sizes[here] > 0
+            same = used & (self.key[here] == key[left]) & (self.check[here] == check[left])
+            out[left[same]] = here[same]
+            left = left[used & ~same]
+            at[left] = (at[left] + 1) & int(mask)
+        return out
+
+    def _add(self, key: np.ndarray, check: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Slots of words that are not in the table; all keys differ."""
+        if (self.known + len(key)) * 4 > len(self.key) * 3:
+            used, flat = np.flatnonzero(self.sizes), self.flat
+            old = self.key[used], self.check[used], self.first[used], self.sizes[used]
+            self._clear(2 * (self.known + len(key)) + len(self.key))
+            self.flat = flat
+            self._add(*old)
+        mask = len(self.key) - 1
+        at, left = (key & np.uint64(mask)).astype(np.int64), np.arange(len(key))
+        while len(left):
+            here = at[left]
+            free = self.sizes[here] == 0
+            self.key[here[free]] = key[left[free]]  # one of the words that claim a slot has it
+            won = free & (self.key[here] == key[left])
+            self.check[here[won]], self.first[here[won]], self.sizes[here[won]] = check[left[won]], first[left[won]], sizes[left[won]]
+            left = left[~won]
+            at[left] = (at[left] + 1) & mask
+        self.known += len(key)
+        return at
 
     def codes(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
         """All codes in order and the number of codes of every text; None if two words share half a hash."""
-        if len(self.key) > self.limit:
-            self._clear()
+        if self.known > self.limit:
+            self._clear(max(16, 2 * self.limit))
         joined = b"\xff".join(data) + b"\xff"
         buffer = np.frombuffer(joined, np.uint8)
         starts, ends = cut_words(buffer)
         key = _hash(buffer, starts, ends, BASE, INVERSE)
         check = _hash(buffer, starts, ends, _OTHER_BASE, _OTHER_INVERSE)
-        distinct, index, back = np.unique(key, return_index=True, return_inverse=True)
-        own = check[index]
-        if not (check == own[back]).all():
-            return None
-        at = np.minimum(np.searchsorted(self.key, distinct), max(0, len(self.key) - 1))
-        old = (self.key[at] == distinct) if len(self.key) else np.zeros(len(distinct), bool)
-        if (self.check[at[old]] != own[old]).any():
-            return None
-        new = np.flatnonzero(~old)
+        slots = self._find(key, check)
+        new = np.flatnonzero(slots < 0)
         if len(new):
-            words = [joined[a:b].decode("utf-8") for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist())]
+            distinct, index, back = np.unique(key[new], return_index=True, return_inverse=True)
+            one = new[index]
+            if not (check[one][back] == check[new]).all():
+                return None
+            words = [joined[a:b].decode("utf-8") for a, b in zip(starts[one].tolist(), ends[one].tolist())]
             flat, sizes = self.encode(words)
             first = len(self.flat) + np.cumsum(sizes) - sizes
-            key_all = np.concatenate([self.key, distinct[new]])
-            order = np.argsort(key_all, kind="stable")
-            self.key = key_all[order]
-            self.check = np.concatenate([self.check, own[new]])[order]
-            self.first, self.sizes = np.concatenate([self.first, first])[order], np.concatenate([self.sizes, sizes])[order]
             self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
-            at = np.searchsorted(self.key, distinct)
-        sizes = self.sizes[at][back]
+            known = len(self.key)
+            placed = self._add(distinct, check[one], first, sizes)
+            if len(self.key) != known:  # a larger table: all slots are new
+                slots = self._find(key, check)
+            else:
+                slots[new] = placed[back]
+        sizes = self.sizes[slots].astype(np.int64)
         word_end = np.cumsum(sizes)
         total = int(word_end[-1]) if len(word_end) else 0
-        out = self.flat[np.repeat(self.first[at][back] - (word_end - sizes), sizes) + np.arange(total)]
+        out = self.flat[np.repeat(self.first[slots] - (word_end - sizes), sizes) + np.arange(total)]
         edges = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in data)]))
         return out, np.diff(np.concatenate([[0], word_end])[edges])

@@ -78,3 +78,30 @@ def test_encoder_equals_library_in_small_tables(monkeypatch):
         data = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(8))) for _ in range(rnd.randrange(1, 6))]
         ids, sizes = encoder.encode([t.encode() for t in data])
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in data]
+
+
+@pytest.mark.parametrize("limit", [1, 40, 5000])
+def test_word_table(limit, monkeypatch):
+    """Codes stay right when the table starts afresh, grows within a slice, or all words share a home."""
+    rnd = random.Random(limit)
+    pool = ["".join(rnd.choices("abcdé", k=rnd.randrange(1, 7))) for _ in range(1500)]
+    codes = lambda word: list(word.encode())
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return np.concatenate([codes(w) for w in words]), np.array([len(codes(w)) for w in words])
+
+    for blunt in (False, True):
+        if blunt:
+            monkeypatch.setattr(lw, "_hash", lambda buffer, starts, ends, base, inverse, f=lw._hash: f(buffer, starts, ends, base, inverse) << np.uint64(40))
+        table = lw.HashedWords(encode, limit)
+        for size in (3, 200, 1, 1200, 40):
+            data = [" ".join(rnd.choices(pool, k=rnd.randrange(0, 30))).encode() for _ in range(size)]
+            found = table.codes(data)
+            if found is None:  # a blunt hash may not tell words apart; then the texts go the general way
+                assert blunt
+                continue
+            flat, per_text = found
+            assert flat.tolist() == [b for x in data for b in x] and per_text.tolist() == [len(x) for x in data]
+    assert len(asked) >= len(set(asked))
