@@ -72,7 +72,7 @@ def cut_words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Powers of each base, kept for slices of up to ``KEPT_POWERS`` bytes; longer texts make their own.
-KEPT_POWERS = 5 << 19
+KEPT_POWERS = 5 << 18
 _kept: dict[int, np.ndarray] = {}
 
 
@@ -80,7 +80,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     if n > KEPT_POWERS:
         return powers(base, n)
     if len(_kept.get(int(base), ())) < n:
-        _kept[int(base)] = powers(base, (n + (1 << 18) - 1) >> 18 << 18)
+        _kept[int(base)] = powers(base, (n + (1 << 17) - 1) >> 17 << 17)
     return _kept[int(base)][:n]
 
 
@@ -98,7 +98,7 @@ class HashedWords:
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int):
         self.encode, self.limit = encode, limit
-        self._clear(max(16, 2 * limit))
+        self._clear(max(16, limit * 4 // 3))
 
     def _clear(self, slots: int) -> None:
         capacity = 1 << (slots - 1).bit_length()
@@ -143,7 +143,7 @@ class HashedWords:
     def codes(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
         """All codes in order and the number of codes of every text; None if two words share half a hash."""
         if self.known > self.limit:
-            self._clear(max(16, 2 * self.limit))
+            self._clear(max(16, self.limit * 4 // 3))
         joined = b"\xff".join(data) + b"\xff"
         buffer = np.frombuffer(joined, np.uint8)
         starts, ends = cut_words(buffer)

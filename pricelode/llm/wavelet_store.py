@@ -31,7 +31,7 @@ from pricelode.llm.word_codes import WordCodes
 
 MAGIC = b"WMX1"
 SHARD_TOKENS = 2_000_000
-SLICE = 2 << 20
+SLICE = 1 << 20
 END = 0
 SAMPLE = 512  # bits between rank samples
 
@@ -178,7 +178,7 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
 
 #: A space and letters, which the tokenizer keeps together and cuts off before the next space.
 SPACED_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 700_000
 
 
 class Encoder:
