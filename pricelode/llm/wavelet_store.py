@@ -178,7 +178,7 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
 
 #: A space and letters, which the tokenizer keeps together and cuts off before the next space.
 SPACED_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-KEPT_WORDS = 700_000
+KEPT_WORDS = 1_500_000
 
 
 class Encoder:
