@@ -8,11 +8,12 @@ batch state, and forget listings that were not seen for a while.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,20 +24,20 @@ OUTPUT = (
     "alert_price double"
 )
 _COLUMNS = ["state_key", "n_seen", "first_price", "last_price", "n_alerts", "alert_price"]
-_PRICES = "first_price double, last_price double"
-_ALERTS = "n_alerts bigint, alert_price double"
+_STATE = "n_seen bigint, first_price double, last_price double, n_alerts bigint, alert_price double"
+_BATCH = 10_000
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _new_lows(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows (pos, price) in order whose price is below all before them."""
-    rows = rows.sort_values("pos", kind="stable")
-    return rows[rows["price"] < rows["price"].cummin().shift(fill_value=float("inf"))]
+def _place(row: tuple) -> tuple:
+    """Sort key of (pos, price): rows without a position come last."""
+    return (True, 0) if row[0] is None else (False, row[0])
 
 
 class AlertProcessor(StatefulProcessor):
     """Counts a key's rows, keeps its prices and raises an alert for every sufficient new low.
 
+    A key has one state variable, read once and written once a batch.
     ``forget_after_ms``: state of a key that has no rows for so long expires.
     """
 
@@ -44,40 +45,36 @@ class AlertProcessor(StatefulProcessor):
         self.drop, self.forget_after_ms = drop, forget_after_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        value = lambda name, schema: handle.getValueState(name, schema, self.forget_after_ms)
-        self.seen, self.prices, self.alerts = value("seen", "n bigint"), value("prices", _PRICES), value("alerts", _ALERTS)
-
-    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        for row in initialState.itertuples(index=False):
-            known = lambda x: None if pd.isna(x) else float(x)
-            self.seen.update((0,))
-            self.prices.update((known(row.first_price), known(row.last_price)))
-            alerted = bool(row.notified) and not pd.isna(row.notified_price)
-            self.alerts.update((1 if alerted else 0, known(row.notified_price) if alerted else None))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        self.state = handle.getValueState("state", _STATE, self.forget_after_ms)
+
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        row = initialState
+        alerted = bool(row.notified) and row.notified_price is not None
+        self.state.update((0, row.first_price, row.last_price, 1 if alerted else 0, row.notified_price if alerted else None))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         # Of the rows that came so far, only the new lows and the ends can matter later: a key's rows are never all held.
-        n, lows, first, last = 0, pd.DataFrame({"pos": [], "price": []}), None, None
-        for batch in rows:
+        n, lows, first, last = 0, [], None, None
+        while batch := list(islice(rows, _BATCH)):
             n += len(batch)
-            priced = batch[["pos", "price"]].dropna(subset=["price"])
-            if priced.empty:
+            priced = sorted(((r.pos, r.price) for r in batch if r.price is not None and not math.isnan(r.price)), key=_place)
+            if not priced:
                 continue
-            lows = _new_lows(priced if lows.empty else pd.concat([lows, priced]))
-            ends = priced.sort_values("pos")
-            first = min(filter(None, (first, tuple(ends.iloc[0]))))
-            last = max(filter(None, (last, tuple(ends.iloc[-1]))))
-        n += self.seen.get()[0] if self.seen.exists() else 0
-        old_first, old_last = self.prices.get() if self.prices.exists() else (None, None)
-        alerts, bar = self.alerts.get() if self.alerts.exists() else (0, None)
+            first = priced[0] if first is None else min(first, priced[0], key=_place)
+            last = priced[-1] if last is None else max(priced[-1], last, key=_place)
+            merged, lows, least = sorted(lows + priced, key=_place), [], math.inf
+            for row in merged:
+                if row[1] < least:
+                    lows.append(row)
+                    least = row[1]
+        seen, old_first, old_last, alerts, bar = self.state.get() or (0, None, None, 0, None)
         prices = (float(first[1]) if old_first is None and first else old_first, float(last[1]) if last else old_last)
-        for price in lows["price"]:
+        for _, price in lows:
             if not alerts or price <= bar - self.drop:
                 alerts, bar = alerts + 1, float(price)
-        self.seen.update((n,))
-        self.prices.update(prices)
-        self.alerts.update((int(alerts), bar))
-        yield pd.DataFrame([(key[0], n, *prices, int(alerts), bar)], columns=_COLUMNS)
+        now = (int(seen + n), *prices, int(alerts), bar)
+        self.state.update(now)
+        yield Row(**dict(zip(_COLUMNS, (key[0], *now), strict=True)))
 
     def close(self) -> None:
         pass
@@ -105,6 +102,6 @@ def keyed_alerts(
     if snapshot is not None:
         known = snapshot.select("state_key", "first_price", "last_price", F.coalesce("notified", F.lit(False)).alias("notified"), "notified_price")
         start = known.groupBy("state_key")
-    return stream.select("state_key", "pos", "price").groupBy("state_key").transformWithStateInPandas(
+    return stream.select("state_key", "pos", "price").groupBy("state_key").transformWithState(
         AlertProcessor(params.realert_drop, forget_after_ms), OUTPUT, "Update", "ProcessingTime" if forget_after_ms else "None", start
     )
