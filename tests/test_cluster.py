@@ -5,10 +5,12 @@ from difflib import SequenceMatcher
 
 import pytest
 
-from pricelode.operators import cluster
+from pricelode import session
+from pricelode.operators import cluster, match
 from pricelode.operators.match import with_decision, with_profile
 from pricelode.config import MatchParams
 from pricelode.schema import LISTING, conform
+from pricelode.session import materialize
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -216,3 +218,25 @@ def test_rounds_equal_sequential_fold_on_random_graphs(spark):
             got.append((pid, at, creator))
         last = (pid, creator)
     assert got == sorted(want)
+
+
+def _rows_written(spark, since):
+    return sum(spark.read.parquet(path).count() for path in session._made[since:])
+
+
+def test_pairs_of_a_cell_are_not_written(spark):
+    """300 profiles of one cell make 44 850 pairs; what goes to the shared folder grows with the profiles."""
+    base = dict(model="v60", variant="t6", model_year=2023, mileage=5000, first_registration="2023-01-01", source="a")
+    rows = [dict(base, listing_id=f"x{i}", price=300000.0, trim=f"t{i}", seq=i) for i in range(300)]
+    df = conform(spark.createDataFrame([tuple(r.get(f.name) for f in SCHEMA) for r in rows], SCHEMA))
+    prof = materialize(match.profiles(with_profile(df)), "profiles")
+    since = len(session._made)
+    params = MatchParams()
+    same, known = match.equipment_agreement(F.col("a_p"), F.col("b_p"))
+    pairs = match.score_pairs(prof, params).select("a_first_seq", "b_first_seq", same.alias("same"), known.alias("known"))
+    assert pairs.groupBy("same", "known").count().collect() == [(1, 2, 300 * 299 // 2)]
+    decided = with_decision(match.score_pairs(prof, params), params).select("d.*")
+    assert decided.filter("matches and score = 100 and reason = 'identisk_annons'").count() == 300 * 299 // 2
+    found = match.identical_pairs(prof)
+    assert found.filter("a_first_seq < b_first_seq AND a_p.price = b_p.price").count() == 300 * 299 // 2
+    assert _rows_written(spark, since) < 300
