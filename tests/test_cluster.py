@@ -240,3 +240,38 @@ def test_pairs_of_a_cell_are_not_written(spark):
     found = match.identical_pairs(prof)
     assert found.filter("a_first_seq < b_first_seq AND a_p.price = b_p.price").count() == 300 * 299 // 2
     assert _rows_written(spark, since) < 300
+
+
+def test_components_of_a_long_chain_take_few_rows(spark, monkeypatch):
+    """Each round reads a fraction of the last one's links; a chain of 2 000 nodes is not walked again and again."""
+    written = []
+
+    def counted(df, label):
+        out = materialize(df, label)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(cluster, "materialize", counted)
+    names = [f"n{i:04d}" for i in range(2000)]
+    random.Random(3).shuffle(names)
+    links = spark.createDataFrame(list(zip(names, names[1:])) + [("z", "z")], "a string, b string")
+    out = {r.node: r.component for r in cluster.connected_components(links).collect()}
+    assert out == {**dict.fromkeys(names, "n0000"), "z": "z"}
+    assert sum(n for label, n in written if label == "components-links") < 4 * 2000
+
+
+def test_rounds_place_only_what_changed(spark, monkeypatch):
+    """A slow chain at the end of a component does not have its 400 settled profiles placed again every round."""
+    placed = []
+    plain = cluster._homes
+    monkeypatch.setattr(cluster, "_homes", lambda nodes, *more: placed.append(nodes.count()) or plain(nodes, *more))
+    nodes = [("c", f"p{i:03d}", 1, 0, [], [i]) for i in range(410)]
+    accepts = [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(399, 409)] + [("p000", f"p{i:03d}") for i in range(1, 400)]
+    got = rounds(spark, nodes, accepts, [])
+    groups, want = [], []
+    for i in range(410):
+        home = next((g for g in groups if (f"p{g:03d}", f"p{i:03d}") in set(accepts)), None)
+        groups += [i] if home is None else []
+        want.append((f"p{i:03d}", i, i if home is None else home))
+    assert got == want
+    assert len(placed) > 4 and sum(placed[3:]) < 100
