@@ -49,9 +49,10 @@ def _lines(spark: SparkSession, root: str) -> DataFrame:
     lines = read_table(spark, root, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     part = read_table(spark, root, "part").select("p_partkey", "p_name")
-    lines = lines.repartition("l_orderkey")  # the pages made from a line are far larger and dearer than the line
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumns(
+    lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    # Dealt by order behind the join: the pages made from a line are far larger and dearer than the line and need not move.
+    return lines.repartition("l_orderkey").withColumns(
         {
             "cents": cents,
             "id": F.concat_ws("-", "l_partkey", "l_suppkey", cents),
