@@ -1,6 +1,6 @@
 """The append-only log of listing and valuation observations.
 
-JSON lines below one folder, partitioned by month and by a bucket of the listing
+Packed JSON lines below one folder, partitioned by month and by a bucket of the listing
 key; every append is one Spark write.  The history of a few keys reads the files
 of their buckets only.  The scan keeps going over blank, broken and non-object
 lines.
@@ -22,6 +22,7 @@ from pricelode.schema import OBSERVATION, conform
 
 _BAD = "_broken"
 BUCKETS = 16
+FILE_ROWS = 1_000_000
 
 
 def listing_records(listings: DataFrame, ts: Column) -> DataFrame:
@@ -60,7 +61,9 @@ def append(records: DataFrame, root: str, timezone: str = TrendParams.timezone,
     local = F.convert_timezone(None, F.lit(timezone), F.col("ts"))
     folder = f"{root.rstrip('/')}/records/run-{run_id or uuid.uuid4().hex}"
     rows = records.withColumns({"month": F.date_format(local, "yyyy-MM"), "bucket": _bucket()})
-    rows.repartition("month", "bucket").write.partitionBy("month", "bucket").mode("overwrite").json(folder)
+    writer = rows.repartition("month", "bucket").write.partitionBy("month", "bucket").mode("overwrite")
+    # A packed file is read by one task, so files are of bounded size.
+    writer.option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).json(folder)
 
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
