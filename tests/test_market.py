@@ -100,3 +100,57 @@ def test_rings_grow_past_copies(spark):
     got = {r.seq: r.c for r in out.select("seq", F.transform("comps", lambda x: x.seq).alias("c")).collect()}
     for t in (rows[0], rows[999], rows[1000], rows[1029]):
         assert got[t["seq"]] == [b["seq"] for b in brute(rows, t)]
+
+
+@pytest.fixture
+def rounds(monkeypatch):
+    """Lengths of the lists asked for, round by round."""
+    asked, plain = [], market._nearest_by_point
+
+    def counted(points, basis, params, keep, fields):
+        asked.append(keep)
+        return plain(points, basis, params, keep, fields)
+
+    monkeypatch.setattr(market, "_nearest_by_point", counted)
+    return asked
+
+
+def valued_rows(spark, rows):
+    df = conform(spark.createDataFrame([tuple(r.get(f.name) for f in SCHEMA) for r in rows], SCHEMA))
+    out = market.value_listings(df.repartition(3), F.lit("2026-06-01").cast("date"), MarketParams())
+    return {r.seq: r.c for r in out.select("seq", F.transform("comps", lambda x: x.seq).alias("c")).collect()}
+
+
+def test_equal_values_of_other_listings_need_no_second_round(spark, rounds):
+    """Many listings of equal price and mileage, all with identities, are no copies of each other."""
+    base = dict(model="v60", variant="T6", model_year=2023, trim=None, tow_hook=None)
+    rows = [dict(base, seq=i, mileage=5000, price=3e5, listing_id=f"i{i}") for i in range(100)]
+    rows += [dict(base, seq=100 + i, mileage=5010 + 10 * i, price=3e5 + i, listing_id=f"j{i}") for i in range(30)]
+    got = valued_rows(spark, rows)
+    assert rounds == [24]
+    for t in rows:
+        assert got[t["seq"]] == [b["seq"] for b in brute(rows, t)]
+
+
+def test_equal_values_without_identity_need_one_more_round(spark, rounds):
+    """Five hundred listings without identity and of one price: targets leave all of them out, or those of another price few."""
+    base = dict(model="v60", variant="T6", model_year=2023, trim=None, tow_hook=None)
+    rows = [dict(base, seq=i, mileage=5000, price=3e5 if i % 50 else 3e5 + i % 3, listing_id=None if i % 7 else f"h{i}") for i in range(500)]
+    rows += [dict(base, seq=500 + i, mileage=5010 + 10 * i, price=3e5 + i, listing_id=None if i % 2 else f"j{i}") for i in range(30)]
+    got = valued_rows(spark, rows)
+    assert rounds == [24, 72]
+    for t in rows:
+        assert got[t["seq"]] == [b["seq"] for b in brute(rows, t)]
+
+
+@pytest.mark.parametrize("seed,ids,no_id,prices", [(5, 40, 0.2, 2), (6, 12, 0.5, 3), (7, 1000, 0.6, 1), (8, 90, 0.0, 4)])
+def test_many_copies_at_few_mileages(spark, seed, ids, no_id, prices):
+    rng = random.Random(seed)
+    rows = [
+        dict(seq=i, model="v60", variant="T6", model_year=2023, trim=None, tow_hook=None, mileage=rng.choice([3000, 3010, 4400, 5900]),
+             price=3e5 + rng.randrange(prices), listing_id=None if rng.random() < no_id else f"i{rng.randrange(ids)}")
+        for i in range(400)
+    ]
+    got = valued_rows(spark, rows)
+    for t in rows:
+        assert got[t["seq"]] == [b["seq"] for b in brute(rows, t)], t
