@@ -180,7 +180,7 @@ def rejected_slugs(parsed: DataFrame, sample: int = REJECTED_SAMPLE) -> DataFram
 def page_lines(html: Column) -> Column:
     """Visible text, one text node per line."""
     visible = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", "")
-    text = F.regexp_replace(strip_tags(visible, "\n"), r"&nbsp;| ", " ")
+    text = F.replace(F.replace(strip_tags(visible, "\n"), F.lit("&nbsp;"), F.lit(" ")), F.lit("\u00a0"), F.lit(" "))
     return F.regexp_replace(text, r"[ \t]*\n\s*", "\n")
 
 
@@ -286,6 +286,8 @@ def regno(html: Column, flat: Column) -> Column:
     text, within ``REG_FAR`` of any, in an attribute named for it, in a JSON
     block (keys compared by letters and digits only), in the raw page.
     """
+    # Every label and attribute key has these letters; the patterns, which are dear, run only where they stand.
+    named = lambda text: text.rlike("(?i)reg")
     windows = lambda text, n: F.regexp_extract_all(
         text, F.lit(rf"(?isuU){REG_LABEL}(?=[\s:;=\-–—]*(.{{0,{n}}}))"), F.lit(1)
     )
@@ -304,10 +306,10 @@ def regno(html: Column, flat: Column) -> Column:
     values = F.flatten(F.transform(scripts, lambda s: F.transform(
         F.filter(F.arrays_zip(part(s, 1), part(s, 2)), lambda p: plain_key(p["0"]).isin(*REG_KEYS)), lambda p: p["1"]
     )))
+    raw = F.regexp_replace(strip_tags(html, " "), r"(?U)\s+", " ")
     return F.coalesce(
-        first_valid(windows(flat, REG_NEAR)),
-        first_valid(windows(flat, REG_FAR)),
-        first_valid(attributes),
+        F.when(named(flat), F.coalesce(first_valid(windows(flat, REG_NEAR)), first_valid(windows(flat, REG_FAR)))),
+        F.when(named(html), first_valid(attributes)),
         first_valid(values),
-        first_valid(windows(F.regexp_replace(strip_tags(html, " "), r"(?U)\s+", " "), REG_FAR)),
+        F.when(named(html), first_valid(windows(raw, REG_FAR))),
     )

@@ -284,9 +284,10 @@ def _detail_join(spark, root):
 
 
 def _regno(spark, root):
-    return detail_pages(spark, root).select(
-        "page_id", extract.regno(F.col("html"), F.replace(extract.page_lines(F.col("html")), F.lit("\n"), F.lit(" "))).alias("reg_no")
-    )
+    flat = F.replace(extract.page_lines(F.col("html")), F.lit("\n"), F.lit(" "))
+    # The one-element explode keeps the optimizer from repeating the text step in every use.
+    sheets = detail_pages(spark, root).select("page_id", "html", F.explode(F.array(flat)).alias("flat"))
+    return sheets.select("page_id", extract.regno(F.col("html"), F.col("flat")).alias("reg_no"))
 
 
 def _valid_regno(spark, root):
