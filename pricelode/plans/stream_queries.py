@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pricelode.operators import state
 from pricelode.plans.history_queries import part_listings
 from pricelode.plans.valuation_queries import as_of
-from pricelode.session import scratch_path
+from pricelode.session import materialize, release, scratch_path, tidy_shuffles
 from pricelode.sources.state_store import StateStore
 from pricelode.streaming.alert_state import keyed_alerts
 from pricelode.streaming.intake import ListingIntake
@@ -15,11 +15,13 @@ from pricelode.streaming.intake import ListingIntake
 
 def _land(spark, root) -> tuple[str, object, int]:
     landing = scratch_path(spark, "landing")
-    rows = part_listings(spark, root).drop("part")
+    rows = materialize(part_listings(spark, root).drop("part"), "landing-rows")  # both halves read them
     # The older half of the rows lands first; each half is written by all tasks.
     older, files = F.coalesce(F.col("model_year") < 1999, F.lit(False)), spark.sparkContext.defaultParallelism
-    rows.filter(older).repartition(files).write.mode("append").parquet(landing)
-    rows.filter(~older).repartition(files).write.mode("append").parquet(landing)
+    with tidy_shuffles(spark):
+        rows.filter(older).repartition(files).write.mode("append").parquet(landing)
+        rows.filter(~older).repartition(files).write.mode("append").parquet(landing)
+    release(rows)
     return landing, rows.schema, files
 
 

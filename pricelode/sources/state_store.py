@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelode.schema import STATE, conform
-from pricelode.session import scratch_path
+from pricelode.session import scratch_path, tidy_shuffles
 
 
 def migrate(state: DataFrame) -> DataFrame:
@@ -89,7 +89,8 @@ class StateStore:
             version = (versions[-1] if versions else 0) + 1
         folder = f"{self.root.rstrip('/')}/data/v{version:012d}-{uuid.uuid4().hex}"
         rows = conform(rows, STATE).select(*STATE.fieldNames(), self._bucket())
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        with tidy_shuffles(rows.sparkSession):
+            rows.repartition("bucket").write.partitionBy("bucket").parquet(folder)
         written = {int(n.split("=")[1]): folder for n in self._folders(folder) if n.startswith("bucket=")}
         listed = self.spark.createDataFrame(sorted((before | written).items()), "bucket int, folder string")
         # "overwrite" clears what an attempt left that died before its commit, or the manifest of a batch that is run again.

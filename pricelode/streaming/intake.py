@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from pricelode.config import StateParams
 from pricelode.operators import state as ops
-from pricelode.session import materialize
+from pricelode.session import materialize, release, tidy_shuffles
 from pricelode.sources.state_store import StateStore
 
 
@@ -45,8 +45,10 @@ class ListingIntake:
         rows, changed = materialize(rows, "intake-rows"), materialize(changed, "intake-state")
         decided = ops.alert_decisions(self.candidates(rows), changed, self.params)
         sent = materialize(decided.filter("alert"), "intake-alerts")
-        sent.write.mode("overwrite").parquet(f"{self.alert_root.rstrip('/')}/batch={number}")
+        with tidy_shuffles(sent.sparkSession):
+            sent.write.mode("overwrite").parquet(f"{self.alert_root.rstrip('/')}/batch={number}")
         store.update(ops.mark_alerted(changed, sent), version=number + 1, base=number)
+        release(rows, changed, sent)
 
     def _origin_of(self, checkpoint: str) -> int:
         mark = f"{checkpoint.rstrip('/')}-origin"
